@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash_dedup
+from . import decontaminate, exact_dedup, minhash_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -28,7 +32,24 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+WORD = "[^\\x{00}-\\x{2f}\\x{3a}-\\x{60}\\x{7b}-\\x{7f}]+"
+
 ORACLES = {
+    "op9_decontaminate": f"""
+        WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        isz AS (SELECT item_id, text, w, least(5, len(w)) AS n, len(w) - least(5, len(w)) + 1 AS size FROM i WHERE len(w) > 0),
+        ish AS (SELECT DISTINCT item_id, text, n, size, array_to_string(w[p : p + n - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, size + 1)) AS p FROM isz)),
+        iset AS (SELECT *, count(*) OVER (PARTITION BY item_id, text) AS n_shingles FROM ish),
+        ineed AS (SELECT *, CAST(ceil(0.7 * n_shingles - 1e-9) AS INTEGER) AS needed FROM iset),
+        dsh AS (SELECT doc_id, text AS t, n, p, array_to_string(w[p : p + n - 1], ' ') AS sh FROM
+                (SELECT doc_id, text, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM isz))),
+        hit AS (SELECT d.doc_id, d.t, i.item_id, i.text, i.size, i.needed, i.n_shingles, d.p, d.sh FROM dsh d JOIN ineed i ON d.n = i.n AND d.sh = i.sh),
+        win AS (SELECT a.doc_id, a.item_id, a.needed, a.n_shingles, a.text, a.t, a.p, count(DISTINCT b.sh) AS overlap
+                FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.t = b.t AND a.item_id = b.item_id AND a.text = b.text AND b.p BETWEEN a.p AND a.p + a.size - 1
+                GROUP BY ALL),
+        best AS (SELECT doc_id, item_id, max({{'overlap': overlap, 'n_shingles': n_shingles, 'needed': needed}}) AS m FROM win WHERE overlap >= needed GROUP BY ALL)
+        SELECT doc_id, item_id, m.overlap AS overlap, m.needed AS needed, m.n_shingles AS n_shingles FROM best""",
     "op2_exact_dedup": """
         SELECT DISTINCT doc_id, keep_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id
