@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, minhash_dedup
+from . import decontaminate, exact_dedup, minhash_dedup, packing
 from .common import table
 
+#: Vocabulary used to count tokens; any byte-level rank file serves.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +27,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ranks_path=RANKS)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
