@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_crf, minhash_dedup, packing
+from . import decontaminate, exact_dedup, language_id, line_crf, minhash_dedup, packing
 from .common import table
 
 #: Vocabulary used to count tokens; any byte-level rank file serves.
@@ -35,6 +35,10 @@ def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
