@@ -121,13 +121,17 @@ def signatures(docs: DataFrame, size: int = 64, shingle: int = 2, bits: int = SY
 
 
 def _distance(n_longs: int, a: str, b: str) -> F.Column:
-    """Number of differing 16-bit symbols: fold each symbol's differing bits onto its lowest, then count."""
+    """Number of differing 16-bit symbols.
+
+    Adding 0x7fff to a symbol's low bits carries into its top bit unless they are all zero; the
+    topmost symbol is tested on its own, since its carry would overflow a signed long.
+    """
     total = F.lit(0)
+    low = F.lit(0x00007FFF7FFF7FFF)
     for i in range(n_longs):
         x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        full = (x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(0x0000800080008000))
+        total = total + F.bit_count(full) + (F.shiftrightunsigned(x, 48) > 0).cast("int")
     return total
 
 
