@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, exact_dedup, language_id, line_crf, minhash_dedup, packing, warc_derivatives
+from . import chat_trees, decontaminate, exact_dedup, language_id, line_crf, minhash_dedup, packing, path_ratios, warc_derivatives
 from .common import table
 
 #: Vocabulary used to count tokens; any byte-level rank file serves.
@@ -39,6 +39,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_html_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_ratios.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derivatives(table(spark, sf_dir, "pages"))
 
