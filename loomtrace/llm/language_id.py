@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,6 @@ from .common import keyed
 WORD = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 LENGTHS = (5, 4, 3, 2, 1)
 CACHE = 300_000
-_SEPARATORS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -105,42 +103,121 @@ def train(docs: DataFrame, sample_docs: int = 4000, vocabulary: int = 50_000, gr
     return model_from_counts(words, vocabulary, grams)
 
 
+def _hashes(keys: list[str]) -> np.ndarray:
+    """Hashes of strings, as ``kernels.span_hashes`` gives them inside a text."""
+    raw = [k.encode() for k in keys]
+    edge = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return K.span_hashes(data, edge[:-1], edge[1:]) if raw else np.zeros(0, np.uint64)
+
+
+class Table:
+    """Score rows by 64-bit hash, found by binary search."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        by = np.argsort(hashes, kind="stable")
+        self.hashes, self.rows = hashes[by], rows[by]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is there, its row number)."""
+        if not len(self.hashes):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return self.hashes[at] == h, at
+
+
+class Scorer:
+    """Scores of all words of a block at once: each distinct word is looked up or backed off once, and remembered.
+
+    Hashes stand for words and n-grams here; ``Model.word`` is the same rule word by word.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.width = max(1, len(model.languages))
+        stack = lambda d: np.array(list(d.values()), float).reshape(-1, self.width)
+        self.words = Table(_hashes(list(model.words)), stack(model.words))
+        self.grams = {n: Table(_hashes(list(index)), table.reshape(-1, self.width)) for n, (index, table) in model.grams.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen = Table(np.zeros(0, np.uint64), np.zeros((0, self.width)))
+        self.seen_known = np.zeros(0, bool)
+
+    def backoff(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score rows, whether anything was known) of words that no vocabulary holds."""
+        n_words, size = len(starts), ends - starts
+        rows, known = np.zeros((n_words, self.width)), np.zeros(n_words, bool)
+        edge = np.concatenate([[0], np.cumsum(size + 2)])
+        framed = np.full(edge[-1], 94, np.uint8)
+        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        framed[np.repeat(edge[:-1] + 1, size) + flat] = data[np.repeat(starts, size) + flat]
+        framed[edge[1:] - 1] = 36
+        lead = (framed & 0xC0) != 0x80  # bytes that begin a character
+        chars = np.append(np.flatnonzero(lead), edge[-1])
+        first = np.searchsorted(chars, edge)  # each word's first character, and the total
+        todo = np.arange(n_words)
+        for n in LENGTHS:
+            if not len(todo):
+                break
+            a, z = (first[todo], first[todo + 1]) if n > 1 else (first[todo] + 1, first[todo + 1] - 1)
+            per = np.maximum(z - a - n + 1, 0)
+            at = np.repeat(a, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+            hit, row = self.grams[n].find(K.span_hashes(framed, chars[at], chars[at + n]))
+            word = np.repeat(np.arange(len(todo)), per)[hit]
+            count = np.bincount(word, minlength=len(todo))
+            for c in range(self.width):
+                total = np.bincount(word, self.grams[n].rows[row[hit], c], minlength=len(todo))
+                rows[todo, c] = np.where(count > 0, total / np.maximum(count, 1), 0)
+            known[todo[count > 0]] = True
+            todo = todo[count == 0]
+        return rows, known
+
+    def block(self, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums by language, known words, words) of each text of a block."""
+        starts, ends, first = K.words(offs, data)
+        n = np.diff(first)
+        sums, known_words = np.zeros((len(n), self.width)), np.zeros(len(n), np.int64)
+        if not len(starts):
+            return sums, known_words, n
+        h, spot, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        rows, known = np.zeros((len(h), self.width)), np.zeros(len(h), bool)
+        hit, at = self.words.find(h)
+        rows[hit], known[hit] = self.words.rows[at[hit]], True
+        rest = np.flatnonzero(~hit)
+        old, at = self.seen.find(h[rest])
+        rows[rest[old]], known[rest[old]] = self.seen.rows[at[old]], self.seen_known[at[old]]
+        new = rest[~old]
+        if len(new):
+            rows[new], known[new] = self.backoff(data, starts[spot[new]], ends[spot[new]])
+            if len(self.seen.hashes) + len(new) > CACHE:
+                self.forget()
+            hashes = np.concatenate([self.seen.hashes, h[new]])
+            flags = np.concatenate([self.seen_known, known[new]])
+            self.seen, self.seen_known = Table(hashes, np.concatenate([self.seen.rows, rows[new]])), flags[np.argsort(hashes, kind="stable")]
+        text = np.repeat(np.arange(len(n)), n)
+        for c in range(self.width):
+            sums[:, c] = np.bincount(text, rows[back, c], minlength=len(n))
+        return sums, np.bincount(text, known[back], minlength=len(n)).astype(np.int64), n
+
+
 def scorer(model: Model) -> F.Column:
     """A column function ``text -> struct(language, margin, words)``."""
-    names = model.languages
+    names = [*model.languages, "und"]
+    made = Scorer(model)
 
     @F.arrow_udf("language string, margin double, words int")
     def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = np.zeros((1024, max(1, len(names))))
-
-        class Slots(dict):
-            def __missing__(self, w: str) -> int:
-                nonlocal table
-                n = len(self)
-                if n == len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                if names:
-                    table[n] = model.word(w)
-                self[w] = n
-                return n
-
-        slots = Slots()
         for text in texts:
-            language, margin, n_words = [], np.zeros(len(text)), np.zeros(len(text), np.int32)
-            for i, t in enumerate(pc.fill_null(K.lower(text), "")):
-                w = [x for x in t.as_py().translate(_SEPARATORS).split(" ") if x]
-                if len(slots) > CACHE:
-                    slots.clear()
-                spots = np.fromiter(map(slots.__getitem__, w), np.int64, len(w))  # may grow the table
-                total = table[spots].sum(0) if w else np.zeros(1)
-                n_words[i] = len(w)
-                best = int(total.argmax())
-                if not total.any():
-                    language.append("und")
-                    continue
-                language.append(names[best])
-                margin[i] = (total[best] - np.delete(total, best).max()) / len(w) if len(names) > 1 else 0.0
-            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(margin), pa.array(n_words)], ["language", "margin", "words"])
+            language, margin, words = [], np.zeros(len(text)), np.zeros(len(text), np.int32)
+            for i, j, offs, data in K.blocks(K.lower(text)):
+                sums, known, n = made.block(offs, data)
+                best = np.where(known > 0, sums.argmax(1), len(names) - 1)
+                language += [names[b] for b in best.tolist()]
+                words[i:j] = n
+                if sums.shape[1] > 1:
+                    top = np.sort(sums, 1)
+                    margin[i:j] = np.where(known > 0, (top[:, -1] - top[:, -2]) / np.maximum(n, 1), 0)
+            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(margin), pa.array(words)], ["language", "margin", "words"])
 
     return identify
 
