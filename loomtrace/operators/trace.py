@@ -28,7 +28,7 @@ def edges(facts: Facts) -> DataFrame:
     return values.unionByName(rows)
 
 
-def _trace(rows: pd.DataFrame) -> pd.DataFrame:
+def trace_statement(rows: pd.DataFrame) -> pd.DataFrame:
     step: dict[tuple[str, str], list[tuple[str, str, str, str]]] = {}
     scopes: set[str] = set(rows["scope"])
     for scope, column, transform, src, col, role in rows[["scope", "column", "transform", "src_scope", "src_column", "role"]].itertuples(index=False):
@@ -92,7 +92,7 @@ def sources(facts: Facts) -> DataFrame:
     ``source_kind`` is physical, generated, rowset or unresolved; for the last, ``source`` is the reason.
     ``role`` is value, or partition, order, filter for window and pivot context, or candidate of an ambiguous name.
     """
-    return edges(facts).groupBy("task", "stmt").applyInPandas(_trace, TRACED)
+    return edges(facts).groupBy("task", "stmt").applyInPandas(trace_statement, TRACED)
 
 
 def end_to_end(facts: Facts) -> DataFrame:
