@@ -66,14 +66,17 @@ def minima(offs: np.ndarray, data: np.ndarray, size: int, shingle: int, mult: np
 def _signer(size: int, shingle: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     rng = np.random.default_rng(991)
     mult, add = rng.integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, size, dtype=np.uint64)
-    mask, names = np.uint16((1 << bits) - 1), ["doc_id", *[f"s{i}" for i in range(size // 4)]]
+    mask, names = np.uint16((1 << bits) - 1), ["doc_id", "g", *[f"s{i}" for i in range(size // 4)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, offs, data in K.blocks(K.lower(batch.column(1))):
                 rows, sig = minima(offs, data, size, shingle, mult, add)
                 packed = np.ascontiguousarray(sig & mask).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(size // 4)]], names)
+                low = np.zeros((len(rows), 64), np.uint8)
+                low[:, : min(size, 64)] = sig[:, :64] & 1
+                sketch = np.ascontiguousarray(np.packbits(low, axis=1)).view(np.int64)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(sketch), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(size // 4)]], names)
 
     return run
 
@@ -113,10 +116,10 @@ def _keyer(size: int, distance: int, chunks: int) -> Callable[[Iterator[pa.Recor
 
 
 def signatures(docs: DataFrame, size: int = 64, shingle: int = 2, bits: int = SYMBOL_BITS) -> DataFrame:
-    """``(doc_id, s0, s1, ...)``: four 16-bit symbols in each long, ``bits`` of each in use."""
+    """``(doc_id, g, s0, s1, ...)``: four 16-bit symbols in each long, ``bits`` of each in use; ``g`` holds the lowest bit of each of the first 64."""
     if size % 4 or not 1 <= bits <= 16:
         raise ValueError("size must be a multiple of 4 and bits between 1 and 16")
-    schema = "doc_id bigint, " + ", ".join(f"s{i} bigint" for i in range(size // 4))
+    schema = "doc_id bigint, g bigint, " + ", ".join(f"s{i} bigint" for i in range(size // 4))
     return keyed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_signer(size, shingle, bits), schema)
 
 
@@ -145,13 +148,15 @@ def near_duplicates(docs: DataFrame, size: int = 64, distance: int = 20, chunks:
     longs = [f"s{i}" for i in range(size // 4)]
     low = Window.partitionBy(*longs).orderBy("doc_id")
     marked = cut(signatures(docs, size, shingle, bits).distinct().withColumn("rep", F.first("doc_id").over(low)))
-    # an id whose rows differ has several signatures, so a signature is named by its id and a hash
-    reps = marked.filter("doc_id = rep").select("doc_id", F.hash(*longs).alias("g"), *longs)
-    keys = reps.mapInArrow(_keyer(size, distance, chunks), "key bigint, doc_id bigint, g int")
+    # an id whose rows differ has several signatures, so a signature is named by its id and its low bits
+    reps = marked.filter("doc_id = rep").select("doc_id", "g", *longs)
+    keys = reps.mapInArrow(_keyer(size, distance, chunks), "key bigint, doc_id bigint, g bigint")
     a, b = keys.alias("a"), keys.alias("b")
     ordered = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.g") < F.col("b.g")))
     names = [F.col("a.doc_id").alias("ia"), F.col("a.g").alias("ga"), F.col("b.doc_id").alias("ib"), F.col("b.g").alias("gb")]
-    tried = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered).select(*names).filter("ia <> ib").distinct()
+    # low bits differ only where symbols do, so this drops no pair within the distance
+    may = F.bit_count(F.col("a.g").bitwiseXOR(F.col("b.g"))) <= distance
+    tried = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered & may).select(*names).filter("ia <> ib").distinct()
     x, y = reps.alias("x"), reps.alias("y")
     met = tried.join(x, (F.col("ia") == F.col("x.doc_id")) & (F.col("ga") == F.col("x.g"))).join(y, (F.col("ib") == F.col("y.doc_id")) & (F.col("gb") == F.col("y.g")))
     close = met.withColumn("distance", _distance(size // 4, "x", "y")).filter(F.col("distance") <= distance)
