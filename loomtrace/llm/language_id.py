@@ -68,6 +68,8 @@ def _logs(counts: dict[str, Counter], languages: list[str], most: int) -> dict[s
     for lang in languages:
         total.update(counts[lang])
     kept = sorted(total, key=lambda k: (-total[k], k))[:most]
+    if not kept:
+        return {}
     table = np.array([[counts[lang][k] for lang in languages] for k in kept], float).reshape(-1, len(languages)) + 0.5
     return dict(zip(kept, np.log(table / table.sum(0)).astype(np.float64)))
 
@@ -84,7 +86,7 @@ def model_from_counts(words: dict[str, Counter], vocabulary: int = 50_000, grams
                     c[g] += k
             counted[lang] = c
         logs = _logs(counted, languages, grams)
-        by_n[n] = ({g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(-1, len(languages)))
+        by_n[n] = ({g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(-1, max(1, len(languages))))
     return Model(languages, _logs(words, languages, vocabulary), by_n)
 
 
