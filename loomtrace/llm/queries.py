@@ -76,11 +76,11 @@ def _urn(parts: str) -> str:
 def _warc_sql() -> str:
     w = warc_derivatives
     re_ = lambda x: x.replace("'", "''")
-    text = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '{re_(w.HIDDEN)}', '', 'g'), '[\\r\\n]', ' ', 'g'), '{re_(w.BLOCK)}', chr(10), 'g'), '{re_(w.TAG)}', '', 'g')"
+    text = f"regexp_replace(regexp_replace(translate(regexp_replace(payload, '{re_(w.HIDDEN)}', '', 'g'), chr(13) || chr(10), '  '), '{re_(w.BLOCK)}', chr(10), 'g'), '{re_(w.TAG)}', '', 'g')"
     for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{char}')"
-    text = f"regexp_replace({text}, '[ \\t\\x{{0b}}\\x{{0c}}\\r\\x{{a0}}]+', ' ', 'g')"
-    text = f"trim(regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'))"
+    text = f"regexp_replace(translate({text}, chr(9) || chr(11) || chr(12) || chr(13) || chr(160), '     '), ' {{2,}}', ' ', 'g')"
+    text = f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
     return f"""
         WITH p AS (SELECT page_id, coalesce(url, 'urn:page:' || page_id) AS target_uri, coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL),

@@ -30,30 +30,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 #: Regular expressions that mean the same to Java and to RE2.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>|<!doctype[^>]*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>|head\b.*?</head\s*>|!doctype[^>]*>)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 TAG = r"</?[a-zA-Z][^>]*>"
+ODD_SPACE = "\t\x0b\x0c\r\xa0"
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 LANG = r"(?is)<html\b[^>]*?\blang=[\x22\x27]?([A-Za-z0-9-]+)"
 HREF = r"(?i)<a\s[^>]*?href=[\x22\x27]?([^\x22\x27\s>]+)"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _unescape(column: pa.Array) -> pa.Array:
     """Character references resolved; only texts with an ampersand are touched."""
     has = pc.fill_null(pc.match_substring(column, "&"), False)
     return pa.array([html_entities.unescape(v.as_py()) if h else v.as_py() for v, h in zip(column, has.to_pylist())], pa.string())
 
 
+def spaced(c: Column, characters: str) -> Column:
+    """Each of the characters as a space; plain replacement is several times faster than ``translate`` or a pattern."""
+    for x in characters:
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    return c
+
+
 def plain_text(html: Column) -> Column:
     """Visible text: hidden elements dropped, one line for each block, references resolved, white space folded."""
     shown = F.regexp_replace(html, HIDDEN, "")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"[\r\n]", " "), BLOCK, "\n"), TAG, "")
-    folded = F.regexp_replace(_unescape(bare), r"[ \t\x{0b}\x{0c}\r\x{a0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r" ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
+    bare = F.regexp_replace(F.regexp_replace(spaced(shown, "\r\n"), BLOCK, "\n"), TAG, "")
+    folded = F.regexp_replace(spaced(_unescape(bare), ODD_SPACE), " {2,}", " ")
+    return F.btrim(F.regexp_replace(folded, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def urn(*parts: Column | str) -> Column:
