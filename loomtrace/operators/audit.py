@@ -25,7 +25,7 @@ def field_usage(facts: Facts) -> DataFrame:
     parts = [
         use(facts.column_sources.filter("role in ('value', 'candidate')"), F.lit("output")),
         use(facts.column_sources.filter("role in ('partition', 'order')"), F.lit("window")),
-        use(facts.predicate_fields, F.when(F.col("kind") == "having", "having").otherwise("filter")),
+        use(facts.predicate_fields, F.when(F.col("kind") == "having", "having").when(F.col("kind") == "join_on", "join").otherwise("filter")),
         use(facts.groupings, F.lit("group_by")),
         use(facts.orders, F.lit("order_by")),
         joined,
@@ -43,7 +43,7 @@ def logic_blocks(facts: Facts) -> DataFrame:
     c = facts.columns
     parts = [
         block(facts.joins, "join", F.concat_ws(" ", "join_type", "left_inputs", "right_inputs", "condition"), F.col("ord"), F.col("status")),
-        block(facts.predicates.filter("kind <> 'having'"), "filter", F.col("expression"), F.col("ord")),
+        block(facts.predicates.filter("kind not in ('having', 'join_on')"), "filter", F.col("expression"), F.col("ord")),
         block(facts.predicates.filter("kind = 'having'"), "having", F.col("expression"), F.col("ord")),
         block(facts.groupings.select(*KEY, "ord", "expression").distinct(), "group_by", F.col("expression"), F.col("ord")),
         block(facts.scopes.filter("is_distinct"), "distinct", F.col("scope"), F.lit(0)),
