@@ -1,8 +1,9 @@
 """The corpus pipeline: quality, exact duplicates, near duplicates, benchmark leaks, packing.
 
 ``STAGES`` is a list of ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and
-returns a DataFrame.  All but the last return the columns of ``docs``.  Stages are map-side
-filters or anti-joins on ids, so texts move only inside the operators that compare them.
+returns a DataFrame.  All but the last return the columns of ``docs``.  The quality stage and packing
+are maps over texts; the three between them end in an anti-join on ids, which moves each
+text once where the ids are too many to broadcast.
 """
 
 from __future__ import annotations
