@@ -139,6 +139,39 @@ EXPECTED: dict[str, str] = {
         ('upkeep', 'stmt:006', 'ROOT', 1, 'y', 'elsewhere', 'table', 'join'),
         ('upkeep', 'stmt:007', 'ROOT', 0, 'somewhere', 'somewhere', 'table', 'from')
     ) v("task", "stmt", "scope", "ord", "alias", "source", "source_type", "position")""",
+    "q_x10_expansions": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("expanded" AS VARCHAR) AS "expanded", CAST("status" AS VARCHAR) AS "status", CAST("reasons" AS VARCHAR) AS "reasons", CAST("substitutions" AS INTEGER) AS "substitutions" FROM (VALUES
+        ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'orders.o_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'orders.o_orderkey', 'resolved', '', 0),
+        ('daily', 'stmt:002', 'ROOT', 'o_totalprice', 'orders.o_totalprice', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'best', 'max(recent.o_totalprice)', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'k', 'recent.o_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'n', 'count(1)', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'c_custkey', 'customer.c_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'c_name', 'customer.c_name', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'n', 'coalesce(counted.n, 0)', 'resolved', '', 0),
+        ('daily', 'stmt:006', 'ROOT', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 3),
+        ('daily', 'stmt:006', 'union:main', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 2),
+        ('daily', 'stmt:006', 'union:main:b00', 'k', 'customer.c_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:006', 'union:main:b01', 's_suppkey', 'supplier.s_suppkey', 'resolved', '', 0),
+        ('daily', 'stmt:007', 'ROOT', 'l_partkey', 'lineitem.l_partkey', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'ROOT', 'c_mktsegment', 'customer.c_mktsegment', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'ROOT', 'revenue', 'sum((lineitem.l_extendedprice * (1 - lineitem.l_discount)))', 'resolved', '', 1),
+        ('revenue', 'stmt:001', 'cte:priced', 'l_orderkey', 'lineitem.l_orderkey', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'cte:priced', 'net', '(lineitem.l_extendedprice * (1 - lineitem.l_discount))', 'resolved', '', 0),
+        ('upkeep', 'stmt:001', 'ROOT', 'amount', '(mart.balance.amount + customer.c_acctbal)', 'resolved', '', 1),
+        ('upkeep', 'stmt:001', 'ROOT', 'id', 'customer.c_custkey', 'resolved', '', 1),
+        ('upkeep', 'stmt:001', 'subq:s', 'amount', 'customer.c_acctbal', 'resolved', '', 0),
+        ('upkeep', 'stmt:001', 'subq:s', 'id', 'customer.c_custkey', 'resolved', '', 0),
+        ('upkeep', 'stmt:002', 'ROOT', 'amount', '0', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'ROOT', 'event_type', 'events.event_type', 'resolved', '', 1),
+        ('upkeep', 'stmt:005', 'ROOT', 'user_id', 'events.user_id', 'resolved', '', 1),
+        ('upkeep', 'stmt:005', 'subq:q', 'event_type', 'events.event_type', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'row_number() OVER (PARTITION BY events.user_id ORDER BY events.ts DESC)', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'subq:q', 'user_id', 'events.user_id', 'resolved', '', 0),
+        ('upkeep', 'stmt:006', 'ROOT', 'label', 'somewhere.label', 'resolved', '', 0),
+        ('upkeep', 'stmt:006', 'ROOT', 'name', 'name', 'partially_resolved', 'ambiguous_unqualified', 0),
+        ('upkeep', 'stmt:007', 'ROOT', '*', '*', 'partially_resolved', 'star_not_expanded', 0)
+    ) v("task", "stmt", "scope", "column", "expanded", "status", "reasons", "substitutions")""",
     "q_x16_mapping_steps": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("target" AS VARCHAR) AS "target", CAST("step_no" AS INTEGER) AS "step_no", CAST("transform" AS VARCHAR) AS "transform", CAST("expression" AS VARCHAR) AS "expression" FROM (VALUES
         ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'o_custkey', 1, 'DIRECT', 'o_custkey'),
         ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'o_orderkey', 1, 'DIRECT', 'o_orderkey'),
