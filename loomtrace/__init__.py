@@ -9,7 +9,7 @@ _PUBLIC = {
     "operators.audit": "cross_references field_usage gaps impact_of logic_blocks quality_gate raw_quality relations source_coverage statistics target_binding upstream_of",
     "operators.publish": "InvalidFacts mapping_markdown profile statement_documents task_documents violations warnings_markdown write",
     "operators.states": "conditions coverage final_states fold_sessions reads state_values states",
-    "operators.trace": "closure end_to_end mapping_steps scope_order sources table_edges",
+    "operators.trace": "chain_text closure end_to_end mapping_steps scope_order sources table_edges",
     "plans.catalyst": "ScriptError parse split_script",
     "plans.facts": "Facts analyze qualified_fields",
     "sources.metadata": "MetadataFileError as_schema ddl_columns from_catalog latest merge read_csv read_json related target_columns",

@@ -148,6 +148,13 @@ def mapping_steps(facts: Facts) -> DataFrame:
     return steps.join(facts.columns.select("task", "stmt", "scope", "column", "transform", "expression"), ["task", "stmt", "scope", "column"], "left")
 
 
+def chain_text(facts: Facts) -> DataFrame:
+    """``(task, stmt, target, chain)``: each output's steps as one line, sources first."""
+    step = F.format_string("%s.%s: %s", F.col("scope"), F.col("column"), F.coalesce("expression", F.lit("")))
+    by = mapping_steps(facts).groupBy("task", "stmt", "target").agg(F.sort_array(F.collect_set(F.struct("step_no", step.alias("text")))).alias("steps"))
+    return by.select("task", "stmt", "target", F.array_join(F.transform("steps", lambda s: s["text"]), " -> ").alias("chain"))
+
+
 def _chains(rows: pd.DataFrame) -> pd.DataFrame:
     step: dict[tuple[str, str], list[tuple[str, str]]] = {}
     named: dict[tuple[str, str], str] = {}

@@ -72,47 +72,47 @@ EXPECTED: dict[str, str] = {
         ('upkeep', 'stmt:006', 'name', 'unresolved', FALSE, '', '', '', '', 'elsewhere.name,somewhere.name', 'ambiguous_unqualified'),
         ('upkeep', 'stmt:007', '*', 'unresolved', FALSE, '', '', '', '', '', 'star_not_expanded')
     ) v("task", "stmt", "column", "source_kind", "trace_complete", "physical", "rowsets", "generated", "window_context", "candidates", "reasons")""",
-    "q_x1_column_sources": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("transform" AS VARCHAR) AS "transform", CAST("ord" AS INTEGER) AS "ord", CAST("src_scope" AS VARCHAR) AS "src_scope", CAST("src_column" AS VARCHAR) AS "src_column", CAST("role" AS VARCHAR) AS "role" FROM (VALUES
-        ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'DIRECT', 0, 'orders', 'o_custkey', 'value'),
-        ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'DIRECT', 0, 'orders', 'o_orderkey', 'value'),
-        ('daily', 'stmt:002', 'ROOT', 'o_totalprice', 'DIRECT', 0, 'orders', 'o_totalprice', 'value'),
-        ('daily', 'stmt:003', 'ROOT', 'best', 'AGGREGATE', 0, 'recent', 'o_totalprice', 'value'),
-        ('daily', 'stmt:003', 'ROOT', 'k', 'DIRECT', 0, 'recent', 'o_custkey', 'value'),
-        ('daily', 'stmt:003', 'ROOT', 'n', 'AGGREGATE', 0, 'recent', '*', 'value'),
-        ('daily', 'stmt:005', 'ROOT', 'c_custkey', 'DIRECT', 0, 'customer', 'c_custkey', 'value'),
-        ('daily', 'stmt:005', 'ROOT', 'c_name', 'DIRECT', 0, 'customer', 'c_name', 'value'),
-        ('daily', 'stmt:005', 'ROOT', 'n', 'EXPRESSION', 0, 'counted', 'n', 'value'),
-        ('daily', 'stmt:006', 'ROOT', 'k', 'DIRECT', 0, 'union:main', 'k', 'value'),
-        ('daily', 'stmt:006', 'union:main', 'k', 'UNION', 0, 'union:main:b00', 'k', 'value'),
-        ('daily', 'stmt:006', 'union:main', 'k', 'UNION', 1, 'union:main:b01', 's_suppkey', 'value'),
-        ('daily', 'stmt:006', 'union:main:b00', 'k', 'DIRECT', 0, 'customer', 'c_custkey', 'value'),
-        ('daily', 'stmt:006', 'union:main:b01', 's_suppkey', 'DIRECT', 0, 'supplier', 's_suppkey', 'value'),
-        ('daily', 'stmt:007', 'ROOT', 'l_partkey', 'DIRECT', 0, 'lineitem', 'l_partkey', 'value'),
-        ('revenue', 'stmt:001', 'ROOT', 'c_mktsegment', 'DIRECT', 0, 'customer', 'c_mktsegment', 'value'),
-        ('revenue', 'stmt:001', 'ROOT', 'revenue', 'AGGREGATE', 0, 'cte:priced', 'net', 'value'),
-        ('revenue', 'stmt:001', 'cte:priced', 'l_orderkey', 'DIRECT', 0, 'lineitem', 'l_orderkey', 'value'),
-        ('revenue', 'stmt:001', 'cte:priced', 'net', 'EXPRESSION', 0, 'lineitem', 'l_extendedprice', 'value'),
-        ('revenue', 'stmt:001', 'cte:priced', 'net', 'EXPRESSION', 1, 'lineitem', 'l_discount', 'value'),
-        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'DIRECT', 0, 'subq:s', 'amount', 'value'),
-        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'EXPRESSION', 0, 'mart.balance', 'amount', 'value'),
-        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'EXPRESSION', 1, 'subq:s', 'amount', 'value'),
-        ('upkeep', 'stmt:001', 'ROOT', 'id', 'DIRECT', 0, 'subq:s', 'id', 'value'),
-        ('upkeep', 'stmt:001', 'subq:s', 'amount', 'DIRECT', 0, 'customer', 'c_acctbal', 'value'),
-        ('upkeep', 'stmt:001', 'subq:s', 'id', 'DIRECT', 0, 'customer', 'c_custkey', 'value'),
-        ('upkeep', 'stmt:002', 'ROOT', 'amount', 'CONSTANT', 0, 'CONSTANT', '0', 'value'),
-        ('upkeep', 'stmt:005', 'ROOT', 'event_type', 'DIRECT', 0, 'subq:q', 'event_type', 'value'),
-        ('upkeep', 'stmt:005', 'ROOT', 'user_id', 'DIRECT', 0, 'subq:q', 'user_id', 'value'),
-        ('upkeep', 'stmt:005', 'subq:q', 'event_type', 'DIRECT', 0, 'events', 'event_type', 'value'),
-        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 0, 'events', '*', 'value'),
-        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 1, 'events', 'user_id', 'partition'),
-        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 2, 'events', 'ts', 'order'),
-        ('upkeep', 'stmt:005', 'subq:q', 'user_id', 'DIRECT', 0, 'events', 'user_id', 'value'),
-        ('upkeep', 'stmt:006', 'ROOT', 'label', 'DIRECT', 0, 'somewhere', 'label', 'value'),
-        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 0, 'AMBIGUOUS', 'name', 'value'),
-        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 1, 'elsewhere', 'name', 'candidate'),
-        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 2, 'somewhere', 'name', 'candidate'),
-        ('upkeep', 'stmt:007', 'ROOT', '*', 'EXPAND_ALL', 0, 'somewhere', '*', 'value')
-    ) v("task", "stmt", "scope", "column", "transform", "ord", "src_scope", "src_column", "role")""",
+    "q_x1_column_sources": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("transform" AS VARCHAR) AS "transform", CAST("ord" AS INTEGER) AS "ord", CAST("src_scope" AS VARCHAR) AS "src_scope", CAST("src_column" AS VARCHAR) AS "src_column", CAST("role" AS VARCHAR) AS "role", CAST("src_path" AS VARCHAR) AS "src_path" FROM (VALUES
+        ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'DIRECT', 0, 'orders', 'o_custkey', 'value', ''),
+        ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'DIRECT', 0, 'orders', 'o_orderkey', 'value', ''),
+        ('daily', 'stmt:002', 'ROOT', 'o_totalprice', 'DIRECT', 0, 'orders', 'o_totalprice', 'value', ''),
+        ('daily', 'stmt:003', 'ROOT', 'best', 'AGGREGATE', 0, 'recent', 'o_totalprice', 'value', ''),
+        ('daily', 'stmt:003', 'ROOT', 'k', 'DIRECT', 0, 'recent', 'o_custkey', 'value', ''),
+        ('daily', 'stmt:003', 'ROOT', 'n', 'AGGREGATE', 0, 'recent', '*', 'value', ''),
+        ('daily', 'stmt:005', 'ROOT', 'c_custkey', 'DIRECT', 0, 'customer', 'c_custkey', 'value', ''),
+        ('daily', 'stmt:005', 'ROOT', 'c_name', 'DIRECT', 0, 'customer', 'c_name', 'value', ''),
+        ('daily', 'stmt:005', 'ROOT', 'n', 'EXPRESSION', 0, 'counted', 'n', 'value', ''),
+        ('daily', 'stmt:006', 'ROOT', 'k', 'DIRECT', 0, 'union:main', 'k', 'value', ''),
+        ('daily', 'stmt:006', 'union:main', 'k', 'UNION', 0, 'union:main:b00', 'k', 'value', ''),
+        ('daily', 'stmt:006', 'union:main', 'k', 'UNION', 1, 'union:main:b01', 's_suppkey', 'value', ''),
+        ('daily', 'stmt:006', 'union:main:b00', 'k', 'DIRECT', 0, 'customer', 'c_custkey', 'value', ''),
+        ('daily', 'stmt:006', 'union:main:b01', 's_suppkey', 'DIRECT', 0, 'supplier', 's_suppkey', 'value', ''),
+        ('daily', 'stmt:007', 'ROOT', 'l_partkey', 'DIRECT', 0, 'lineitem', 'l_partkey', 'value', ''),
+        ('revenue', 'stmt:001', 'ROOT', 'c_mktsegment', 'DIRECT', 0, 'customer', 'c_mktsegment', 'value', ''),
+        ('revenue', 'stmt:001', 'ROOT', 'revenue', 'AGGREGATE', 0, 'cte:priced', 'net', 'value', ''),
+        ('revenue', 'stmt:001', 'cte:priced', 'l_orderkey', 'DIRECT', 0, 'lineitem', 'l_orderkey', 'value', ''),
+        ('revenue', 'stmt:001', 'cte:priced', 'net', 'EXPRESSION', 0, 'lineitem', 'l_extendedprice', 'value', ''),
+        ('revenue', 'stmt:001', 'cte:priced', 'net', 'EXPRESSION', 1, 'lineitem', 'l_discount', 'value', ''),
+        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'DIRECT', 0, 'subq:s', 'amount', 'value', ''),
+        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'EXPRESSION', 0, 'mart.balance', 'amount', 'value', ''),
+        ('upkeep', 'stmt:001', 'ROOT', 'amount', 'EXPRESSION', 1, 'subq:s', 'amount', 'value', ''),
+        ('upkeep', 'stmt:001', 'ROOT', 'id', 'DIRECT', 0, 'subq:s', 'id', 'value', ''),
+        ('upkeep', 'stmt:001', 'subq:s', 'amount', 'DIRECT', 0, 'customer', 'c_acctbal', 'value', ''),
+        ('upkeep', 'stmt:001', 'subq:s', 'id', 'DIRECT', 0, 'customer', 'c_custkey', 'value', ''),
+        ('upkeep', 'stmt:002', 'ROOT', 'amount', 'CONSTANT', 0, 'CONSTANT', '0', 'value', ''),
+        ('upkeep', 'stmt:005', 'ROOT', 'event_type', 'DIRECT', 0, 'subq:q', 'event_type', 'value', ''),
+        ('upkeep', 'stmt:005', 'ROOT', 'user_id', 'DIRECT', 0, 'subq:q', 'user_id', 'value', ''),
+        ('upkeep', 'stmt:005', 'subq:q', 'event_type', 'DIRECT', 0, 'events', 'event_type', 'value', ''),
+        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 0, 'events', '*', 'value', ''),
+        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 1, 'events', 'user_id', 'partition', ''),
+        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'WINDOW', 2, 'events', 'ts', 'order', ''),
+        ('upkeep', 'stmt:005', 'subq:q', 'user_id', 'DIRECT', 0, 'events', 'user_id', 'value', ''),
+        ('upkeep', 'stmt:006', 'ROOT', 'label', 'DIRECT', 0, 'somewhere', 'label', 'value', ''),
+        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 0, 'AMBIGUOUS', 'name', 'value', ''),
+        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 1, 'elsewhere', 'name', 'candidate', ''),
+        ('upkeep', 'stmt:006', 'ROOT', 'name', 'DIRECT', 2, 'somewhere', 'name', 'candidate', ''),
+        ('upkeep', 'stmt:007', 'ROOT', '*', 'EXPAND_ALL', 0, 'somewhere', '*', 'value', '')
+    ) v("task", "stmt", "scope", "column", "transform", "ord", "src_scope", "src_column", "role", "src_path")""",
     "q_x9_inputs": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("ord" AS INTEGER) AS "ord", CAST("alias" AS VARCHAR) AS "alias", CAST("source" AS VARCHAR) AS "source", CAST("source_type" AS VARCHAR) AS "source_type", CAST("position" AS VARCHAR) AS "position" FROM (VALUES
         ('daily', 'stmt:002', 'ROOT', 0, 'orders', 'orders', 'table', 'from'),
         ('daily', 'stmt:003', 'ROOT', 0, 'recent', 'recent', 'table', 'from'),
@@ -139,39 +139,39 @@ EXPECTED: dict[str, str] = {
         ('upkeep', 'stmt:006', 'ROOT', 1, 'y', 'elsewhere', 'table', 'join'),
         ('upkeep', 'stmt:007', 'ROOT', 0, 'somewhere', 'somewhere', 'table', 'from')
     ) v("task", "stmt", "scope", "ord", "alias", "source", "source_type", "position")""",
-    "q_x10_expansions": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("expanded" AS VARCHAR) AS "expanded", CAST("status" AS VARCHAR) AS "status", CAST("reasons" AS VARCHAR) AS "reasons", CAST("substitutions" AS INTEGER) AS "substitutions" FROM (VALUES
-        ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'orders.o_custkey', 'resolved', '', 0),
-        ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'orders.o_orderkey', 'resolved', '', 0),
-        ('daily', 'stmt:002', 'ROOT', 'o_totalprice', 'orders.o_totalprice', 'resolved', '', 0),
-        ('daily', 'stmt:003', 'ROOT', 'best', 'max(recent.o_totalprice)', 'resolved', '', 0),
-        ('daily', 'stmt:003', 'ROOT', 'k', 'recent.o_custkey', 'resolved', '', 0),
-        ('daily', 'stmt:003', 'ROOT', 'n', 'count(1)', 'resolved', '', 0),
-        ('daily', 'stmt:005', 'ROOT', 'c_custkey', 'customer.c_custkey', 'resolved', '', 0),
-        ('daily', 'stmt:005', 'ROOT', 'c_name', 'customer.c_name', 'resolved', '', 0),
-        ('daily', 'stmt:005', 'ROOT', 'n', 'coalesce(counted.n, 0)', 'resolved', '', 0),
-        ('daily', 'stmt:006', 'ROOT', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 3),
-        ('daily', 'stmt:006', 'union:main', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 2),
-        ('daily', 'stmt:006', 'union:main:b00', 'k', 'customer.c_custkey', 'resolved', '', 0),
-        ('daily', 'stmt:006', 'union:main:b01', 's_suppkey', 'supplier.s_suppkey', 'resolved', '', 0),
-        ('daily', 'stmt:007', 'ROOT', 'l_partkey', 'lineitem.l_partkey', 'resolved', '', 0),
-        ('revenue', 'stmt:001', 'ROOT', 'c_mktsegment', 'customer.c_mktsegment', 'resolved', '', 0),
-        ('revenue', 'stmt:001', 'ROOT', 'revenue', 'sum((lineitem.l_extendedprice * (1 - lineitem.l_discount)))', 'resolved', '', 1),
-        ('revenue', 'stmt:001', 'cte:priced', 'l_orderkey', 'lineitem.l_orderkey', 'resolved', '', 0),
-        ('revenue', 'stmt:001', 'cte:priced', 'net', '(lineitem.l_extendedprice * (1 - lineitem.l_discount))', 'resolved', '', 0),
-        ('upkeep', 'stmt:001', 'ROOT', 'amount', '(mart.balance.amount + customer.c_acctbal)', 'resolved', '', 1),
-        ('upkeep', 'stmt:001', 'ROOT', 'id', 'customer.c_custkey', 'resolved', '', 1),
-        ('upkeep', 'stmt:001', 'subq:s', 'amount', 'customer.c_acctbal', 'resolved', '', 0),
-        ('upkeep', 'stmt:001', 'subq:s', 'id', 'customer.c_custkey', 'resolved', '', 0),
-        ('upkeep', 'stmt:002', 'ROOT', 'amount', '0', 'resolved', '', 0),
-        ('upkeep', 'stmt:005', 'ROOT', 'event_type', 'events.event_type', 'resolved', '', 1),
-        ('upkeep', 'stmt:005', 'ROOT', 'user_id', 'events.user_id', 'resolved', '', 1),
-        ('upkeep', 'stmt:005', 'subq:q', 'event_type', 'events.event_type', 'resolved', '', 0),
-        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'row_number() OVER (PARTITION BY events.user_id ORDER BY events.ts DESC)', 'resolved', '', 0),
-        ('upkeep', 'stmt:005', 'subq:q', 'user_id', 'events.user_id', 'resolved', '', 0),
-        ('upkeep', 'stmt:006', 'ROOT', 'label', 'somewhere.label', 'resolved', '', 0),
-        ('upkeep', 'stmt:006', 'ROOT', 'name', 'name', 'partially_resolved', 'ambiguous_unqualified', 0),
-        ('upkeep', 'stmt:007', 'ROOT', '*', '*', 'partially_resolved', 'star_not_expanded', 0)
-    ) v("task", "stmt", "scope", "column", "expanded", "status", "reasons", "substitutions")""",
+    "q_x10_expansions": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("display" AS VARCHAR) AS "display", CAST("expanded" AS VARCHAR) AS "expanded", CAST("status" AS VARCHAR) AS "status", CAST("reasons" AS VARCHAR) AS "reasons", CAST("substitutions" AS INTEGER) AS "substitutions" FROM (VALUES
+        ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'o_custkey', 'orders.o_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'o_orderkey', 'orders.o_orderkey', 'resolved', '', 0),
+        ('daily', 'stmt:002', 'ROOT', 'o_totalprice', 'o_totalprice', 'orders.o_totalprice', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'best', 'max(o_totalprice)', 'max(recent.o_totalprice)', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'k', 'o_custkey', 'recent.o_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:003', 'ROOT', 'n', 'count(1)', 'count(1)', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'c_custkey', 'customer.c_custkey', 'customer.c_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'c_name', 'customer.c_name', 'customer.c_name', 'resolved', '', 0),
+        ('daily', 'stmt:005', 'ROOT', 'n', 'coalesce(counted.n, 0)', 'coalesce(counted.n, 0)', 'resolved', '', 0),
+        ('daily', 'stmt:006', 'ROOT', 'k', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 3),
+        ('daily', 'stmt:006', 'union:main', 'k', 'k', 'UNION(customer.c_custkey, supplier.s_suppkey)', 'resolved', '', 2),
+        ('daily', 'stmt:006', 'union:main:b00', 'k', 'c_custkey', 'customer.c_custkey', 'resolved', '', 0),
+        ('daily', 'stmt:006', 'union:main:b01', 's_suppkey', 's_suppkey', 'supplier.s_suppkey', 'resolved', '', 0),
+        ('daily', 'stmt:007', 'ROOT', 'l_partkey', 'l_partkey', 'lineitem.l_partkey', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'ROOT', 'c_mktsegment', 'customer.c_mktsegment', 'customer.c_mktsegment', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'ROOT', 'revenue', 'sum(cte:priced.net)', 'sum((lineitem.l_extendedprice * (1 - lineitem.l_discount)))', 'resolved', '', 1),
+        ('revenue', 'stmt:001', 'cte:priced', 'l_orderkey', 'l_orderkey', 'lineitem.l_orderkey', 'resolved', '', 0),
+        ('revenue', 'stmt:001', 'cte:priced', 'net', '(l_extendedprice * (1 - l_discount))', '(lineitem.l_extendedprice * (1 - lineitem.l_discount))', 'resolved', '', 0),
+        ('upkeep', 'stmt:001', 'ROOT', 'amount', '(mart.balance.amount + subq:s.amount)', '(mart.balance.amount + customer.c_acctbal)', 'resolved', '', 1),
+        ('upkeep', 'stmt:001', 'ROOT', 'id', 'subq:s.id', 'customer.c_custkey', 'resolved', '', 1),
+        ('upkeep', 'stmt:001', 'subq:s', 'amount', 'c_acctbal', 'customer.c_acctbal', 'resolved', '', 0),
+        ('upkeep', 'stmt:001', 'subq:s', 'id', 'c_custkey', 'customer.c_custkey', 'resolved', '', 0),
+        ('upkeep', 'stmt:002', 'ROOT', 'amount', '0', '0', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'ROOT', 'event_type', 'event_type', 'events.event_type', 'resolved', '', 1),
+        ('upkeep', 'stmt:005', 'ROOT', 'user_id', 'user_id', 'events.user_id', 'resolved', '', 1),
+        ('upkeep', 'stmt:005', 'subq:q', 'event_type', 'event_type', 'events.event_type', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'subq:q', 'rn', 'row_number() OVER (PARTITION BY user_id ORDER BY ts DESC)', 'row_number() OVER (PARTITION BY events.user_id ORDER BY events.ts DESC)', 'resolved', '', 0),
+        ('upkeep', 'stmt:005', 'subq:q', 'user_id', 'user_id', 'events.user_id', 'resolved', '', 0),
+        ('upkeep', 'stmt:006', 'ROOT', 'label', 'somewhere.label', 'somewhere.label', 'resolved', '', 0),
+        ('upkeep', 'stmt:006', 'ROOT', 'name', 'name', 'name', 'partially_resolved', 'ambiguous_unqualified', 0),
+        ('upkeep', 'stmt:007', 'ROOT', '*', '*', '*', 'partially_resolved', 'star_not_expanded', 0)
+    ) v("task", "stmt", "scope", "column", "display", "expanded", "status", "reasons", "substitutions")""",
     "q_x16_mapping_steps": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("scope" AS VARCHAR) AS "scope", CAST("column" AS VARCHAR) AS "column", CAST("target" AS VARCHAR) AS "target", CAST("step_no" AS INTEGER) AS "step_no", CAST("transform" AS VARCHAR) AS "transform", CAST("expression" AS VARCHAR) AS "expression" FROM (VALUES
         ('daily', 'stmt:002', 'ROOT', 'o_custkey', 'o_custkey', 1, 'DIRECT', 'o_custkey'),
         ('daily', 'stmt:002', 'ROOT', 'o_orderkey', 'o_orderkey', 1, 'DIRECT', 'o_orderkey'),
@@ -204,6 +204,29 @@ EXPECTED: dict[str, str] = {
         ('upkeep', 'stmt:006', 'ROOT', 'name', 'name', 1, 'DIRECT', 'name'),
         ('upkeep', 'stmt:007', 'ROOT', '*', '*', 1, 'EXPAND_ALL', '*')
     ) v("task", "stmt", "scope", "column", "target", "step_no", "transform", "expression")""",
+    "q_x47_chains": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("target" AS VARCHAR) AS "target", CAST("chain" AS VARCHAR) AS "chain" FROM (VALUES
+        ('daily', 'stmt:002', 'o_custkey', 'ROOT.o_custkey: o_custkey'),
+        ('daily', 'stmt:002', 'o_orderkey', 'ROOT.o_orderkey: o_orderkey'),
+        ('daily', 'stmt:002', 'o_totalprice', 'ROOT.o_totalprice: o_totalprice'),
+        ('daily', 'stmt:003', 'best', 'ROOT.best: max(o_totalprice)'),
+        ('daily', 'stmt:003', 'k', 'ROOT.k: o_custkey'),
+        ('daily', 'stmt:003', 'n', 'ROOT.n: count(1)'),
+        ('daily', 'stmt:005', 'c_custkey', 'ROOT.c_custkey: c.c_custkey'),
+        ('daily', 'stmt:005', 'c_name', 'ROOT.c_name: c.c_name'),
+        ('daily', 'stmt:005', 'n', 'ROOT.n: coalesce(t.n, 0)'),
+        ('daily', 'stmt:006', 'k', 'union:main:b00.k: c_custkey -> union:main:b01.s_suppkey: s_suppkey -> union:main.k: k -> ROOT.k: k'),
+        ('daily', 'stmt:007', 'l_partkey', 'ROOT.l_partkey: l_partkey'),
+        ('revenue', 'stmt:001', 'c_mktsegment', 'ROOT.c_mktsegment: c.c_mktsegment'),
+        ('revenue', 'stmt:001', 'revenue', 'cte:priced.net: (l_extendedprice * (1 - l_discount)) -> ROOT.revenue: sum(p.net)'),
+        ('upkeep', 'stmt:001', 'amount', 'subq:s.amount: c_acctbal -> ROOT.amount: (t.amount + s.amount) -> ROOT.amount: s.amount'),
+        ('upkeep', 'stmt:001', 'id', 'subq:s.id: c_custkey -> ROOT.id: s.id'),
+        ('upkeep', 'stmt:002', 'amount', 'ROOT.amount: 0'),
+        ('upkeep', 'stmt:005', 'event_type', 'subq:q.event_type: event_type -> ROOT.event_type: event_type'),
+        ('upkeep', 'stmt:005', 'user_id', 'subq:q.user_id: user_id -> ROOT.user_id: user_id'),
+        ('upkeep', 'stmt:006', 'label', 'ROOT.label: x.label'),
+        ('upkeep', 'stmt:006', 'name', 'ROOT.name: name'),
+        ('upkeep', 'stmt:007', '*', 'ROOT.*: *')
+    ) v("task", "stmt", "target", "chain")""",
     "q_x19_usage": r"""SELECT CAST("task" AS VARCHAR) AS "task", CAST("stmt" AS VARCHAR) AS "stmt", CAST("source" AS VARCHAR) AS "source", CAST("field" AS VARCHAR) AS "field", CAST("used_by" AS VARCHAR) AS "used_by" FROM (VALUES
         ('daily', 'stmt:002', 'orders', 'o_custkey', 'output'),
         ('daily', 'stmt:002', 'orders', 'o_orderdate', 'filter'),

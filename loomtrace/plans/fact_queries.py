@@ -49,8 +49,9 @@ QUERIES: dict[str, Callable[[SparkSession, Facts], DataFrame]] = {
     "q_x3_table_closure": lambda s, f: trace.closure(trace.table_edges(f)),
     "q_x1_column_sources": lambda s, f: f.column_sources,
     "q_x9_inputs": lambda s, f: f.inputs,
-    "q_x10_expansions": lambda s, f: f.expansions.select("task", "stmt", "scope", "column", "expanded", "status", F.array_join("reasons", ",").alias("reasons"), "substitutions"),
+    "q_x10_expansions": lambda s, f: f.expansions.select("task", "stmt", "scope", "column", "display", "expanded", "status", F.array_join("reasons", ",").alias("reasons"), "substitutions"),
     "q_x16_mapping_steps": lambda s, f: trace.mapping_steps(f),
+    "q_x47_chains": lambda s, f: trace.chain_text(f),
     "q_x19_usage": lambda s, f: audit.field_usage(f),
     "q_x20_logic_blocks": lambda s, f: audit.logic_blocks(f),
     "q_x22_coverage": lambda s, f: states.coverage(f, _columns(s)),

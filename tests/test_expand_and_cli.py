@@ -91,3 +91,15 @@ def test_public_names_resolve_and_load_nothing_early():
     assert all(callable(getattr(loomtrace, n)) for n in loomtrace.__all__)
     code = "import sys, loomtrace; print([m for m in sys.modules if m.startswith(('pyspark', 'pandas', 'loomtrace.'))])"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout.strip() == "[]"
+
+
+def test_display_struct_paths_and_schema_fields(spark):
+    f = analyze(spark, [("t", "INSERT INTO t SELECT p.x + q.z AS v, p.y.f.g AS w FROM db.a p JOIN db.b q ON p.id = q.id")], SCHEMA)
+    assert {r.column: r.display for r in f.expansions.collect()} == {"v": "(db.a.x + db.b.z)", "w": "db.a.y.f.g"}
+    assert {(r.column, r.src_column, r.src_path) for r in f.column_sources.collect()} == {("v", "x", ""), ("v", "z", ""), ("w", "y", "f.g")}
+    f = analyze(spark, [("t", "INSERT INTO t SELECT upper(k.x) AS v, y.f FROM db.a k")], SCHEMA)
+    assert {r.column: r.display for r in f.expansions.collect()} == {"v": "upper(x)", "f": "y.f"}
+    f = analyze(spark, [("t", "INSERT INTO t SELECT e.one, two FROM db.a LATERAL VIEW inline(from_json(x, 'array<struct<one:int,two:string>>')) e")], SCHEMA)
+    assert {(r.column, r.source_column) for r in trace.sources(f).collect()} == {("one", "x"), ("two", "x")}
+    text = {r.target: r.chain for r in trace.chain_text(analyze(spark, [("t", "INSERT INTO t SELECT q.w + 1 AS v FROM (SELECT x AS w FROM db.a) q")], SCHEMA)).collect()}
+    assert text == {"v": "subq:q.w: x -> ROOT.v: (q.w + 1)"}
