@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def messages(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, text, parent, score)``, one row a message; parents that name nothing are null."""
+def single_rows(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text[, parent][, score])`` with one row of each (conv_id, turn).
+
+    Only identifiers move to find repeated rows; texts move only if there are any.
+    """
     have = conversations.columns
     base = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
@@ -39,17 +42,25 @@ def messages(conversations: DataFrame) -> DataFrame:
         *([F.col("parent").cast("bigint").alias("parent")] if "parent" in have else []),
         *([F.col("score").cast("double").alias("score")] if "score" in have else []),
     ).filter("conv_id is not null and turn is not null")
-    rest = [c for c in ("role", "text", "parent", "score") if c in base.columns]
-    one = base.groupBy("conv_id", "turn").agg(F.min(F.struct(*rest)).alias("m")).select("conv_id", "turn", "m.*")
-    one = one.withColumn("score", F.coalesce("score", F.lit(0.0)) if "score" in rest else F.char_length("text").cast("double"))
+    again = cut(base.groupBy("conv_id", "turn").count().filter("count > 1").select("conv_id", "turn"))
+    if again.isEmpty():
+        return base
+    rest = [c for c in base.columns if c not in ("conv_id", "turn")]
+    least = base.join(again, ["conv_id", "turn"], "left_semi").groupBy("conv_id", "turn").agg(F.min(F.struct(*rest)).alias("m")).select("conv_id", "turn", "m.*")
+    return base.join(again, ["conv_id", "turn"], "left_anti").unionByName(least)
+
+
+def messages(rows: DataFrame) -> DataFrame:
+    """``(conv_id, turn, parent, score)`` of single rows; parents that name nothing are null."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    if "parent" not in rest:
-        before = F.lag("turn").over(order)
-        turns = one.withColumn("_jump", F.when(F.lag("role").over(order) != F.col("role"), before))
-        return turns.withColumn("parent", F.last("_jump", ignorenulls=True).over(order)).drop("_jump")
-    known = F.collect_set("turn").over(Window.partitionBy("conv_id"))
-    fits = (F.col("parent") != F.col("turn")) & F.array_contains("_known", F.col("parent"))
-    return one.withColumn("_known", known).withColumn("parent", F.when(fits, F.col("parent"))).drop("_known")
+    score = F.coalesce("score", F.lit(0.0)) if "score" in rows.columns else F.char_length("text").cast("double")
+    if "parent" not in rows.columns:
+        turns = rows.select("conv_id", "turn", "role", score.alias("score")).withColumn("_jump", F.when(F.lag("role").over(order) != F.col("role"), F.lag("turn").over(order)))
+        return turns.select("conv_id", "turn", F.last("_jump", ignorenulls=True).over(order).alias("parent"), "score")
+    known = rows.select("conv_id", F.col("turn").alias("parent"), F.lit(True).alias("_known"))
+    fits = F.col("_known") & (F.col("parent") != F.col("turn"))
+    met = rows.select("conv_id", "turn", "parent", score.alias("score")).join(known, ["conv_id", "parent"], "left")
+    return met.select("conv_id", "turn", F.when(fits, F.col("parent")).alias("parent"), "score")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -80,15 +91,19 @@ def conversations_of(conversations: DataFrame, keep: int = 2) -> DataFrame:
     """``(conv_id, leaf, rank, n_messages, score, text)``: the ``keep`` best branches of each conversation, each formatted from its root to its leaf."""
     if keep < 1:
         raise ValueError("keep must be positive")
-    nodes = cut(messages(conversations))
+    rows = single_rows(conversations)
+    nodes = cut(messages(rows))
     steps = cut(paths(nodes))
     scored = steps.join(nodes.select("conv_id", F.col("turn").alias("node"), "score"), ["conv_id", "node"])
     # sums are exact for whole numbers; rounding keeps others free of the order of addition
     branches = scored.groupBy("conv_id", "leaf").agg(F.count("*").cast("int").alias("n_messages"), F.round(F.sum("score"), 6).alias("score"))
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n_messages"), "leaf")
     chosen = branches.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
-    rows = steps.join(chosen, ["conv_id", "leaf"]).join(nodes.select("conv_id", F.col("turn").alias("node"), "role", "text"), ["conv_id", "node"])
+    wanted = steps.join(chosen, ["conv_id", "leaf"]).withColumnRenamed("conv_id", "_conv")
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     turn = F.concat(F.lit("<|"), safe(F.col("role")), F.lit("|>\n"), safe(F.col("text")), F.lit("<|end|>\n"))
-    told = rows.groupBy("conv_id", "leaf", "rank", "n_messages", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), turn.alias("turn")))).alias("turns"))
+    texts = rows.select("conv_id", F.col("turn").alias("_turn"), turn.alias("turn"))
+    # the conversation alone is the join's key, so its partitions also serve the grouping and texts move once
+    held = wanted.join(texts, (F.col("_conv") == F.col("conv_id")) & (F.col("node") - F.col("_turn") == 0))
+    told = held.groupBy("conv_id", "leaf", "rank", "n_messages", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))).alias("turns"))
     return told.select("conv_id", "leaf", "rank", "n_messages", "score", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("text"))

@@ -172,7 +172,7 @@ def test_trees_with_parents_and_scores(spark, keep):
 def test_parents_from_roles(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "user", "q22"), (1, 3, "assistant", "a"), (1, 4, "assistant", "longer"), (1, 5, "user", "end")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    assert {r.turn: r.parent for r in chat_trees.messages(df).collect()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 2, 5: 4}
+    assert {r.turn: r.parent for r in chat_trees.messages(chat_trees.single_rows(df)).collect()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 2, 5: 4}
     got = chat_trees.conversations_of(df).orderBy("rank").collect()
     assert [(r.leaf, r.n_messages, r.score) for r in got] == [(5, 4, 13.0), (3, 3, 5.0)]
     assert got[1].text == "<|system|>\ns<|end|>\n<|user|>\nq22<|end|>\n<|assistant|>\na<|end|>\n"
