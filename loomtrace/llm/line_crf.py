@@ -8,7 +8,8 @@ and a document's quality is the mean of the marginals weighted by line length.
 Training fits all weights by L-BFGS on the conditional likelihood of labelled documents,
 where each line carries its document's label.  At most ``sample_docs`` labelled
 documents are used (the least hashes of their ids), those with over ``sample_lines`` lines
-left out; everything else about the job covers whole texts of whole tables.
+left out, so at most 6,000 x 200 lines of 30 small numbers, 144 MB, reach the driver; all else
+about the job covers whole texts of whole tables.
 
 Scoring is a map: no shuffle, one result for every input row.
 
@@ -220,7 +221,7 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, l2: float = 1.0, ro
     return Model(mean, std, p[:k], float(p[k]), p[k + 1 :].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_lines: int = 2000, l2: float = 1.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_lines: int = 200, l2: float = 1.0) -> Model | None:
     """Fit on a bounded sample; ``None`` where the labels hold fewer than two classes."""
     told = keyed(labels, "doc_id", "quality").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__lo"), F.max("quality").alias("__hi")).filter("__lo = __hi")
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("doc_id", F.col("__lo").alias("label"))
