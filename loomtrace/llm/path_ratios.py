@@ -40,14 +40,16 @@ INLINE = frozenset("abbr b bdi bdo big cite code data dfn em font i ins kbd mark
 _CLOSES = {t: frozenset({"p"}) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _CLOSES |= {"li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
 _MARKS = re.compile(r"[.,;:!?…、。！，：；？]")
-#: Tags inside which a run of text ends.
+#: ``(path, text)`` in document order.
+Nodes = list[tuple[str, str]]
+#: Where hidden elements end.
 _END_OF = {t: re.compile(rf"</{t}\s*+>", re.I) for t in HIDDEN}
 
 
-def text_nodes(html: str) -> list[tuple[str, str]]:
+def text_nodes(html: str) -> Nodes:
     """``(path, text)`` of every run of visible text, in document order."""
     stack: list[str] = []
-    nodes: list[tuple[str, str]] = []
+    nodes: Nodes = []
     parts: list[str] = []
     at, n = 0, len(html)
 
@@ -103,7 +105,7 @@ def likeness(a: list[str], b: list[str]) -> float:
     return (same / max(len(a), len(b))) ** 2
 
 
-def content_paths(nodes: list[tuple[str, str]], sigma: float, cut: float) -> tuple[np.ndarray, list[str]]:
+def content_paths(nodes: Nodes, sigma: float, cut: float) -> tuple[np.ndarray, list[str]]:
     """(whether each node is content, the content paths in order of their first node)."""
     index: dict[str, int] = {}
     path = np.array([index.setdefault(p, len(index)) for p, _ in nodes])
