@@ -22,15 +22,15 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     given.add_argument("--task-file", help="one task export (JSON)")
     given.add_argument("--input-dir", help="a folder of task exports")
     p.add_argument("--schema", action="append", default=[], help="column metadata: CSV, TSV, JSON or a folder of JSON; the first that has a table counts")
-    p.add_argument("--out", required=True, help="folder for fact tables and documents")
+    p.add_argument("--out", help="folder for fact tables and documents", required=True)
     p.add_argument("--markdown", action="store_true", help="write mapping and warning documents as well")
     p.add_argument("--quality", choices=["permissive", "balanced", "strict"], default="permissive")
     p.add_argument("--fail-on-unsupported", action="store_true")
     p.add_argument("--fail-on-gaps", action="store_true")
     p.add_argument("--fail-on-recovered", action="store_true")
     r = jobs.add_parser("render", help="write Markdown from fact tables")
-    r.add_argument("--facts", required=True, help="a folder that parse wrote")
-    r.add_argument("--out", required=True)
+    r.add_argument("--facts", help="a folder that parse wrote", required=True)
+    r.add_argument("--out", help="folder for the documents", required=True)
     return top.parse_args(argv)
 
 

@@ -30,10 +30,10 @@ def dominant(transforms: Column) -> Column:
 
 def called_functions(text: Column) -> Column:
     """Names before an opening parenthesis, lower case, without SQL's own words; sorted and distinct."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)), F.lower)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)), F.lower)
     return F.sort_array(F.array_distinct(F.filter(found, lambda f: ~f.isin("cast", "case", "if", "over", "in", "and", "or", "not"))))
 
 
 def is_partition_filter(fields: Column) -> Column:
     """Whether a predicate reads partition fields alone."""
-    return (F.size(fields) > 0) & F.forall(fields, lambda f: F.lower(f).isin("dt", "ds", "pt", "bizdate", "biz_date"))
+    return (F.size(fields) > 0) & F.forall(fields, lambda f: F.lower(f).isin(*"biz_date bizdate ds dt pt".split()))

@@ -16,11 +16,11 @@ from loomtrace.plans.facts import Facts
 
 VERSION_1, VERSION_2 = "1.0", "2.0"
 ENUMS = {
-    "kind": ["INSERT_OVERWRITE", "INSERT", "CTAS", "MERGE", "UPDATE", "DELETE", "TRUNCATE", "SELECT", "OTHER", "EMPTY", "COMMENT", "FAILED"],
-    "category": ["projection_write", "conditional_write", "row_mutation", "control_statement", "empty_statement", "unsupported_statement"],
-    "model_status": ["modeled", "ignored", "unsupported", "failed"],
-    "partition_mode": ["none", "static", "dynamic", "mixed"],
-    "syntax_status": ["strict_ok", "recovered", "failed"],
+    "kind": "CTAS INSERT INSERT_OVERWRITE MERGE DELETE TRUNCATE UPDATE SELECT OTHER COMMENT EMPTY FAILED".split(),
+    "category": "row_mutation projection_write conditional_write unsupported_statement control_statement empty_statement".split(),
+    "model_status": "failed ignored modeled unsupported".split(),
+    "partition_mode": "dynamic mixed none static".split(),
+    "syntax_status": "failed recovered strict_ok".split(),
 }
 
 

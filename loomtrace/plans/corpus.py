@@ -43,7 +43,7 @@ SCRIPTS = {
         MERGE INTO mart.balance t USING (SELECT c_custkey AS id, c_acctbal AS amount FROM customer) s ON t.id = s.id
             WHEN MATCHED AND s.amount < 0 THEN DELETE
             WHEN MATCHED THEN UPDATE SET amount = t.amount + s.amount
-            WHEN NOT MATCHED THEN INSERT (id, amount) VALUES (s.id, s.amount);
+            WHEN NOT MATCHED THEN INSERT (amount, id) VALUES (s.amount, s.id);
         UPDATE mart.balance SET amount = 0 WHERE amount < 0.5;
         DELETE FROM mart.balance WHERE id IS NULL;
         TRUNCATE TABLE mart.staging;

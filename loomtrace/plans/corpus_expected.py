@@ -454,8 +454,8 @@ EXPECTED: dict[str, str] = {
         ('revenue', 'stmt:001', 'cte:priced', 0, 'l_orderkey', 'DIRECT', 'l_orderkey', 'direct_projection', 'direct_projection', 'preserved'),
         ('revenue', 'stmt:001', 'cte:priced', 1, 'net', 'EXPRESSION', '(l_extendedprice * (1 - l_discount))', 'arithmetic_expression', 'field_derivation', 'preserved'),
         ('upkeep', 'stmt:001', 'ROOT', 0, 'amount', 'EXPRESSION', '(t.amount + s.amount)', 'arithmetic_expression', 'field_derivation', 'preserved'),
-        ('upkeep', 'stmt:001', 'ROOT', 1, 'id', 'DIRECT', 's.id', 'direct_projection', 'direct_projection', 'preserved'),
-        ('upkeep', 'stmt:001', 'ROOT', 2, 'amount', 'DIRECT', 's.amount', 'direct_projection', 'direct_projection', 'preserved'),
+        ('upkeep', 'stmt:001', 'ROOT', 1, 'amount', 'DIRECT', 's.amount', 'direct_projection', 'direct_projection', 'preserved'),
+        ('upkeep', 'stmt:001', 'ROOT', 2, 'id', 'DIRECT', 's.id', 'direct_projection', 'direct_projection', 'preserved'),
         ('upkeep', 'stmt:001', 'subq:s', 0, 'id', 'DIRECT', 'c_custkey', 'direct_projection', 'direct_projection', 'preserved'),
         ('upkeep', 'stmt:001', 'subq:s', 1, 'amount', 'DIRECT', 'c_acctbal', 'direct_projection', 'direct_projection', 'preserved'),
         ('upkeep', 'stmt:002', 'ROOT', 0, 'amount', 'CONSTANT', '0', 'constant_expression', 'constant_fill', 'preserved'),

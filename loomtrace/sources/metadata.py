@@ -19,6 +19,10 @@ ALIASES = {
 SHAPE = "relation string, ordinal int, column string, type string, comment string, origin string"
 
 
+#: Column names by table.
+Schema = dict[str, list[str]]
+
+
 class MetadataFileError(ValueError):
     """A metadata file that can't be read as it stands."""
 
@@ -150,7 +154,7 @@ def target_columns(spark: SparkSession, ddls: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, SHAPE + ", is_partition boolean")
 
 
-def as_schema(columns: DataFrame) -> dict[str, list[str]]:
+def as_schema(columns: DataFrame) -> Schema:
     """Metadata as the reader wants it.  The number of tables is that of a warehouse's catalog, which the driver holds anyway to parse against."""
     rows = columns.groupBy("relation").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("c")).collect()
     return {r.relation: [x.column for x in r.c] for r in rows}

@@ -59,8 +59,9 @@ def test_budget_bounds_text_and_not_facts(spark):
 def test_command_line(spark, tmp_path, capsys):
     tasks = tmp_path / "tasks"
     tasks.mkdir()
-    (tasks / "one.json").write_text(json.dumps({"meta": {"task_name": "one", "sql": "INSERT INTO m.t SELECT x FROM db.a; DROP TABLE z"}}))
-    (tasks / "two.json").write_text(json.dumps({"task_name": "two", "sql": "INSERT INTO m.u SELECT * FROM db.dark"}))
+    put = lambda where, **content: where.write_text(json.dumps(content))
+    put(tasks / "one.json", meta=dict(task_name="one", sql="INSERT INTO m.t SELECT x FROM db.a; DROP TABLE z"))
+    put(tasks / "two.json", task_name="two", sql="INSERT INTO m.u SELECT * FROM db.dark")
     schema = tmp_path / "schema.json"
     schema.write_text(json.dumps(SCHEMA))
     out = str(tmp_path / "out")
@@ -70,7 +71,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert {r.task for r in f.statements.collect()} == {"one", "two"}
     assert main(["render", "--facts", out, "--out", str(tmp_path / "docs")]) == 0
     assert "m.t" in spark.read.parquet(str(tmp_path / "docs" / "mapping")).filter("task = 'one'").first().markdown
-    (tasks / "three.json").write_text(json.dumps({"task_name": "two", "sql": "SELECT 1"}))
+    put(tasks / "three.json", task_name="two", sql="SELECT 1")
     assert run() == 2 and "several files" in capsys.readouterr().err
     empty = tmp_path / "empty"
     empty.mkdir()

@@ -191,17 +191,21 @@ def test_csv_metadata(spark, tmp_path):
         metadata.read_csv(spark, str(bad))
 
 
-@pytest.mark.parametrize(
-    "content",
-    [
-        {"DB.t": ["a", "b"]},
-        {"db.t": [{"name": "A", "type": "int"}, {"name": "b"}]},
-        {"db.t": {"column_details": [{"name": "a"}, {"name": "b", "comment": "c"}]}},
-        {"tables": [{"table_name": "db.t", "schema": [{"name": "a"}, {"name": "b"}]}]},
-        {"table_name": "x.db.t", "schema": [{"name": "a", "type": "int"}, {"name": "b"}]},
-        [{"table_name": "db.t", "column_name": "a"}, {"table": "db.t", "column": "b"}],
-    ],
-)
+def fields(*names, **more):
+    return [dict(name=n, **more) for n in names]
+
+
+SHAPES = [
+    {"DB.t": list("ab")},
+    {"db.t": fields("A", type="int") + fields("b")},
+    {"db.t": {"column_details": fields("a") + fields("b", comment="c")}},
+    {"tables": [dict(table_name="db.t", schema=fields("a", "b"))]},
+    dict(table_name="x.db.t", schema=fields("a", type="int") + fields("b")),
+    [dict(table_name="db.t", column_name="a"), dict(table="db.t", column="b")],
+]
+
+
+@pytest.mark.parametrize("content", SHAPES)
 def test_json_metadata(spark, tmp_path, content):
     (tmp_path / "m.json").write_text(json.dumps(content))
     (tmp_path / "broken.json").write_text("{not json")
@@ -240,10 +244,11 @@ def test_merge_latest_and_ddl(spark):
 def test_script_readers(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.sql").write_text("SELECT 1;\nSELECT 2")
-    (tmp_path / "a.json").write_text(json.dumps({"meta": {"sql": "SELECT 1", "task_name": "alpha", "upstream_tasks": [{"task_name": "u", "task_id": "7"}, {"task_name": "v"}]}, "query_time": "x"}))
-    (tmp_path / "sub" / "b.json").write_text(json.dumps({"task_name": "alpha", "sql": "SELECT 2"}))
+    put = lambda where, **content: where.write_text(json.dumps(content))
+    put(tmp_path / "a.json", meta=dict(sql="SELECT 1", task_name="alpha", upstream_tasks=[dict(task_name="u", task_id="7"), dict(task_name="v")]), query_time="x")
+    put(tmp_path / "sub" / "b.json", task_name="alpha", sql="SELECT 2")
     (tmp_path / "c.json").write_text("{oops")
-    (tmp_path / "d.json").write_text(json.dumps({"meta": {"task_name": "empty"}}))
+    put(tmp_path / "d.json", meta=dict(task_name="empty"))
     assert [(r.task, r.sql) for r in scripts.sql_files(spark, str(tmp_path)).collect()] == [("one", "SELECT 1;\nSELECT 2")]
     read = scripts.tasks(spark, str(tmp_path))
     assert sorted((r.task, r.error) for r in read.collect() if r.error) == [("c", "invalid_json"), ("empty", "no_sql")]
