@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.operators.trace import end_to_end, scope_order
+from loomtrace.operators.trace import TRACED, edges, end_to_end, scope_order, trace_statement
 from loomtrace.plans.facts import Facts
 
 KEY = ["task", "stmt", "scope"]
+#: Stands for the keys of a join whose condition has no equality between its inputs.
+NO_KEY = "no equality key"
 
 
 def field_usage(facts: Facts) -> DataFrame:
@@ -135,11 +137,28 @@ def target_binding(facts: Facts, target_columns: DataFrame) -> DataFrame:
 
 
 def relations(facts: Facts) -> DataFrame:
-    """Joined pairs of tables with how often: ``(left_table, join_type, right_table, keys, n)``."""
-    side = lambda s: facts.inputs.select(*KEY, F.col("alias").alias(f"{s}_alias"), F.col("source").alias(f"{s}_table"))
-    pairs = facts.join_keys.join(facts.joins.select(*KEY, "ord", "join_type"), [*KEY, "ord"]).join(side("left"), [*KEY, "left_alias"]).join(side("right"), [*KEY, "right_alias"])
-    one = pairs.groupBy(*KEY, "ord", "left_table", "join_type", "right_table").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "left_column", "right_column"))), ",").alias("keys"))
-    return one.groupBy("left_table", "join_type", "right_table", "keys").agg(F.count("*").alias("n"))
+    """Joined pairs of physical tables with how often: ``(left_table, join_type, right_table, keys, n)``.
+
+    Keys are traced through CTEs, derived tables and set operations to physical fields; a key with several on a side
+    gives all their pairs, one that comes back to the same field on both sides, or to none, gives no pair.  A join
+    without keys stays with ``NO_KEY`` where its first inputs are tables; equalities in WHERE are predicates, not keys.
+    """
+    number = F.row_number().over(Window.partitionBy("task", "stmt").orderBy("scope", "ord", "left_alias", "left_column", "right_alias", "right_column"))
+    keys = facts.join_keys.withColumn("k", number)
+    sides = {}
+    for s in ("left", "right"):
+        side = keys.select(*KEY, "k", F.col(f"{s}_alias").alias("alias"), F.col(f"{s}_column").alias("src_column")).join(facts.inputs.select(*KEY, "alias", F.col("source").alias("src_scope")), [*KEY, "alias"])
+        sides[s] = side.select("task", "stmt", F.lit("ROOT").alias("scope"), F.format_string(f"?{s}:%d", "k").alias("column"), F.lit("DIRECT").alias("transform"), "src_scope", "src_column", F.lit("value").alias("role"))
+    asked = edges(facts).unionByName(sides["left"]).unionByName(sides["right"])
+    traced = asked.groupBy("task", "stmt").applyInPandas(trace_statement, TRACED).filter("column like '?%' and source_kind = 'physical' and role = 'value'")
+    fields = lambda s: traced.filter(F.col("column").startswith(f"?{s}:")).select("task", "stmt", F.substring_index("column", ":", -1).cast("int").alias("k"), F.col("source").alias(f"{s}_table"), F.col("source_column").alias(f"{s}_field"))
+    pairs = keys.select(*KEY, "ord", "k").join(fields("left"), ["task", "stmt", "k"]).join(fields("right"), ["task", "stmt", "k"])
+    pairs = pairs.filter("not (left_table = right_table and lower(left_field) = lower(right_field))").join(facts.joins.select(*KEY, "ord", "join_type"), [*KEY, "ord"])
+    one = pairs.groupBy(*KEY, "ord", "left_table", "join_type", "right_table").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "left_field", "right_field"))), ",").alias("keys"))
+    first = lambda s: facts.inputs.filter("source_type = 'table'").select(*KEY, F.col("alias").alias(f"{s}_alias"), F.col("source").alias(f"{s}_table"))
+    bare = facts.joins.join(facts.join_keys, [*KEY, "ord"], "left_anti").select(*KEY, "ord", "join_type", *[F.substring_index(f"{s}_inputs", ",", 1).alias(f"{s}_alias") for s in ("left", "right")])
+    bare = bare.join(first("left"), [*KEY, "left_alias"]).join(first("right"), [*KEY, "right_alias"]).select(*KEY, "ord", "left_table", "join_type", "right_table", F.lit(NO_KEY).alias("keys"))
+    return one.unionByName(bare).groupBy("left_table", "join_type", "right_table", "keys").agg(F.count("*").alias("n"))
 
 
 def quality_gate(facts: Facts, level: str = "balanced") -> DataFrame:
