@@ -120,19 +120,27 @@ def raw_quality(facts: Facts) -> DataFrame:
 def target_binding(facts: Facts, target_columns: DataFrame) -> DataFrame:
     """``(task, stmt, target, ordinal, parsed_name, target_column, status)`` of every projection write.
 
-    Outputs are matched with the target's columns by position, static partition columns left out; a count that
-    differs leaves all names of the statement as parsed (``fallback``); a target without metadata is ``metadata_not_provided``.
+    Outputs are matched by position with the columns that the INSERT lists, or else with the target's columns, static
+    partition columns left out; a count that differs or a column listed twice leaves all names of the statement as parsed
+    (``fallback``).  Outputs of INSERT BY NAME are named as their targets (``not_applied``); a target without metadata is
+    ``metadata_not_provided`` and keeps names as parsed, listed columns or not.
     ``target_columns``: (relation, ordinal, column).
     """
-    w = facts.statements.filter("kind in ('INSERT', 'INSERT_OVERWRITE')").select("task", "stmt", "target", F.lower("target").alias("relation"), "partition_spec")
+    w = facts.statements.filter("kind in ('INSERT', 'INSERT_OVERWRITE')").select("task", "stmt", "target", F.lower("target").alias("relation"), "partition_spec", "insert_columns", "by_name")
     fixed = F.map_keys(F.map_filter("partition_spec", lambda k, v: v.isNotNull()))
-    wanted = w.withColumn("fixed", fixed).join(target_columns.select(F.lower("relation").alias("relation"), "ordinal", F.col("column").alias("target_column")), "relation").filter(~F.array_contains("fixed", F.col("target_column")))
+    known = w.join(target_columns.select(F.lower("relation").alias("relation"), "ordinal", F.col("column").alias("target_column")), "relation").withColumn("listed", F.coalesce(F.size("insert_columns"), F.lit(0)) > 0)
     place = F.row_number().over(Window.partitionBy("task", "stmt").orderBy("ordinal")) - 1
-    n_target = F.count("*").over(Window.partitionBy("task", "stmt"))
-    wanted = wanted.select("task", "stmt", place.alias("ord"), "target_column", n_target.alias("n_target"))
-    roots = facts.columns.filter("scope like 'ROOT%'").select("task", "stmt", "ord", F.col("column").alias("parsed_name"), F.count("*").over(Window.partitionBy("task", "stmt")).alias("n_out"))
-    got = w.join(roots, ["task", "stmt"]).join(wanted.select("task", "stmt", "n_target").distinct(), ["task", "stmt"], "left").join(wanted.drop("n_target"), ["task", "stmt", "ord"], "left")
-    status = F.when(F.col("n_target").isNull(), "metadata_not_provided").when(F.col("n_target") != F.col("n_out"), "fallback").otherwise("applied")
+    by_table = known.filter(~F.col("listed")).withColumn("fixed", fixed).filter(~F.array_contains("fixed", F.col("target_column"))).select("task", "stmt", place.alias("ord"), "target_column")
+    by_list = known.filter("listed").select("task", "stmt", "insert_columns").distinct().select("task", "stmt", F.posexplode("insert_columns").alias("ord", "target_column"))
+    each = Window.partitionBy("task", "stmt")
+    wanted = by_table.unionByName(by_list).select("*", F.count("*").over(each).alias("n_target"))
+    doubled = by_list.groupBy("task", "stmt", F.lower("target_column")).count().filter("count > 1").select("task", "stmt", F.lit(True).alias("doubled")).distinct()
+    roots = facts.columns.filter("scope like 'ROOT%'").select("task", "stmt", "ord", F.col("column").alias("parsed_name"), F.count("*").over(each).alias("n_out"))
+    got = w.join(roots, ["task", "stmt"]).join(wanted.select("task", "stmt", "n_target").distinct(), ["task", "stmt"], "left").join(wanted.drop("n_target"), ["task", "stmt", "ord"], "left").join(doubled, ["task", "stmt"], "left")
+    status = (
+        F.when(F.col("n_target").isNull(), "metadata_not_provided").when(F.col("by_name"), "not_applied")
+        .when((F.col("n_target") != F.col("n_out")) | F.col("doubled").isNotNull(), "fallback").otherwise("applied")
+    )
     return got.select("task", "stmt", "target", F.col("ord").alias("ordinal"), "parsed_name", F.when(status == "applied", F.col("target_column")).otherwise(F.col("parsed_name")).alias("target_column"), status.alias("status"))
 
 

@@ -41,3 +41,41 @@ def test_relations_pierce_blocks_and_keep_keyless_joins(spark):
 def test_relations_do_not_guess_through_open_stars(spark):
     script = "INSERT INTO m.t WITH j AS (SELECT * FROM a JOIN b ON a.x = b.x), s AS (SELECT * FROM d) SELECT 1 AS one FROM j JOIN c ON j.k = c.k JOIN s ON s.k = c.k"
     assert rows(audit.relations(analyze(spark, [("t", script)]))) == [("a", "INNER", "b", "x=x", 1), ("c", "INNER", "d", "k=k", 1)]
+
+
+# -- target binding
+
+
+def binding(spark, script, columns):
+    cols = spark.createDataFrame([("m.t", i, c) for i, c in enumerate(columns)], "relation string, ordinal int, column string")
+    got = audit.target_binding(analyze(spark, [("t", script)]), cols).orderBy("stmt", "ordinal").collect()
+    return [(r.stmt[-3:], r.parsed_name, r.target_column, r.status) for r in got]
+
+
+def test_listed_columns_and_names_bind_before_position(spark):
+    script = """
+        INSERT INTO m.t (b, a) SELECT x, y FROM s;
+        INSERT INTO m.t (b) SELECT x FROM s;
+        INSERT INTO m.t BY NAME SELECT b, a FROM s;
+        INSERT INTO m.t BY NAME SELECT b FROM s;
+        INSERT INTO m.t (b, a) SELECT x FROM s;
+        INSERT INTO m.t SELECT x, y FROM s;
+        INSERT INTO m.u (b, a) SELECT x, y FROM s"""
+    assert binding(spark, script, "ab") == [
+        ("001", "x", "b", "applied"), ("001", "y", "a", "applied"),
+        ("002", "x", "b", "applied"),
+        ("003", "b", "b", "not_applied"), ("003", "a", "a", "not_applied"),
+        ("004", "b", "b", "not_applied"),
+        ("005", "x", "x", "fallback"),
+        ("006", "x", "a", "applied"), ("006", "y", "b", "applied"),
+        ("007", "x", "x", "metadata_not_provided"), ("007", "y", "y", "metadata_not_provided"),
+    ]
+
+
+def test_listed_columns_of_partitions_and_multi_inserts(spark):
+    script = """
+        INSERT INTO m.t PARTITION (dt = '1') (b, a) SELECT x, y FROM s;
+        FROM s INSERT INTO m.t (dt, b) SELECT x, y INSERT INTO m.t SELECT x, y, z"""
+    got = binding(spark, script, ["a", "b", "dt"])
+    assert got[:2] == [("001", "x", "b", "applied"), ("001", "y", "a", "applied")]
+    assert [x[1:] for x in got[2:]] == [("x", "dt", "applied"), ("y", "b", "applied"), ("x", "a", "applied"), ("y", "b", "applied"), ("z", "dt", "applied")]
