@@ -28,6 +28,7 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--fail-on-unsupported", action="store_true")
     p.add_argument("--fail-on-gaps", action="store_true")
     p.add_argument("--fail-on-recovered", action="store_true")
+    p.add_argument("--fail-on-binding-fallback", action="store_true")
     r = jobs.add_parser("render", help="write Markdown from fact tables")
     r.add_argument("--facts", help="a folder that parse wrote", required=True)
     r.add_argument("--out", help="folder for the documents", required=True)
@@ -59,17 +60,20 @@ def main(argv: list[str] | None = None) -> int:
         if twice:
             raise scripts.EmptySource(f"task {twice.task} comes from several files: {', '.join(twice.files)}")
         # scripts are parsed where the session lives; they arrive one at a time
-        facts = analyze(spark, ((r.task, r.sql) for r in source.orderBy("task").toLocalIterator()), _schema(spark, a.schema))
+        schema = _schema(spark, a.schema)
+        facts = analyze(spark, ((r.task, r.sql) for r in source.orderBy("task").toLocalIterator()), schema)
     except (scripts.EmptySource, metadata.MetadataFileError) as e:
         print(f"loomtrace: {e}", file=sys.stderr)
         return 2
     publish.write(facts, a.out)
     if a.markdown:
         _markdown(facts, a.out)
-    bad = not audit.quality_gate(facts, a.quality).filter("not passed").isEmpty()
+    columns = spark.createDataFrame([(t, i, c) for t, cs in schema.items() for i, c in enumerate(cs)], "relation string, ordinal int, column string")
+    bad = not audit.quality_gate(facts, a.quality, columns).filter("not passed").isEmpty()
     bad |= a.fail_on_unsupported and not facts.statements.filter("model_status in ('unsupported', 'failed')").isEmpty()
     bad |= a.fail_on_recovered and not facts.statements.filter("syntax_status = 'recovered'").isEmpty()
     bad |= a.fail_on_gaps and not audit.gaps(facts).isEmpty()
+    bad |= a.fail_on_binding_fallback and not audit.target_binding(facts, columns).filter("status = 'fallback'").isEmpty()
     return int(bad)
 
 

@@ -124,11 +124,12 @@ def target_binding(facts: Facts, target_columns: DataFrame) -> DataFrame:
     partition columns left out; a count that differs or a column listed twice leaves all names of the statement as parsed
     (``fallback``).  Outputs of INSERT BY NAME are named as their targets (``not_applied``); a target without metadata is
     ``metadata_not_provided`` and keeps names as parsed, listed columns or not.
-    ``target_columns``: (relation, ordinal, column).
+    ``target_columns``: (relation, ordinal, column); relations are compared by their last two name parts.
     """
-    w = facts.statements.filter("kind in ('INSERT', 'INSERT_OVERWRITE')").select("task", "stmt", "target", F.lower("target").alias("relation"), "partition_spec", "insert_columns", "by_name")
+    relation = lambda c: F.regexp_extract(F.lower(c), r"([^.]*\.)?[^.]*$", 0)
+    w = facts.statements.filter("kind in ('INSERT', 'INSERT_OVERWRITE')").select("task", "stmt", "target", relation("target").alias("relation"), "partition_spec", "insert_columns", "by_name")
     fixed = F.map_keys(F.map_filter("partition_spec", lambda k, v: v.isNotNull()))
-    known = w.join(target_columns.select(F.lower("relation").alias("relation"), "ordinal", F.col("column").alias("target_column")), "relation").withColumn("listed", F.coalesce(F.size("insert_columns"), F.lit(0)) > 0)
+    known = w.join(target_columns.select(relation("relation").alias("relation"), "ordinal", F.col("column").alias("target_column")), "relation").withColumn("listed", F.coalesce(F.size("insert_columns"), F.lit(0)) > 0)
     place = F.row_number().over(Window.partitionBy("task", "stmt").orderBy("ordinal")) - 1
     by_table = known.filter(~F.col("listed")).withColumn("fixed", fixed).filter(~F.array_contains("fixed", F.col("target_column"))).select("task", "stmt", place.alias("ord"), "target_column")
     by_list = known.filter("listed").select("task", "stmt", "insert_columns").distinct().select("task", "stmt", F.posexplode("insert_columns").alias("ord", "target_column"))
@@ -169,14 +170,16 @@ def relations(facts: Facts) -> DataFrame:
     return one.unionByName(bare).groupBy("left_table", "join_type", "right_table", "keys").agg(F.count("*").alias("n"))
 
 
-def quality_gate(facts: Facts, level: str = "balanced") -> DataFrame:
-    """``(task, failures, passed)``: permissive lets all pass; balanced fails on unsupported or failed statements; strict also on gaps, recovered syntax and open stars in outputs."""
+def quality_gate(facts: Facts, level: str = "balanced", target_columns: DataFrame | None = None) -> DataFrame:
+    """``(task, failures, passed)``: permissive lets all pass; balanced fails on unsupported or failed statements; strict also on gaps, recovered syntax, open stars in outputs and, by ``target_columns`` as in ``target_binding``, on writes that don't fit their target."""
     if level not in ("permissive", "balanced", "strict"):
         raise ValueError("level is permissive, balanced or strict")
     st = facts.statements
     bad = st.filter("model_status in ('unsupported', 'failed')").select("task", F.lit("statement_not_modeled").alias("failure"))
     if level == "strict":
         bad = bad.union(gaps(facts).select("task", F.lit("root_gap"))).union(st.filter("syntax_status = 'recovered'").select("task", F.lit("recovered_syntax")))
+        if target_columns is not None:
+            bad = bad.union(target_binding(facts, target_columns).filter("status = 'fallback'").select("task", F.lit("binding_fallback")))
     if level == "permissive":
         bad = bad.limit(0)
     found = bad.groupBy("task").agg(F.array_join(F.sort_array(F.collect_set("failure")), ",").alias("failures"))

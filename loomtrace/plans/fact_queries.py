@@ -66,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, Facts], DataFrame]] = {
     "q_x39_reads": lambda s, f: states.reads(f),
     "q_x40_fold": lambda s, f: states.fold_sessions(f),
     "q_x42_cross_references": lambda s, f: audit.cross_references(f),
-    "q_x45_quality_gate": lambda s, f: audit.quality_gate(f, "strict"),
+    "q_x45_quality_gate": lambda s, f: audit.quality_gate(f, "strict", _columns(s)),
     "q_j6_join_keys": lambda s, f: f.join_keys,
     "q_j9_relations": lambda s, f: audit.relations(f),
     "q_p9_projection_facts": lambda s, f: f.columns.select("task", "stmt", "scope", "ord", "column", "transform", "expression", "expanded_type", "role", "grain_effect"),

@@ -1,5 +1,6 @@
 """Whole results where an earlier state of the code gave less: expected rows written by hand from the scripts."""
 
+from loomtrace.__main__ import main
 from loomtrace.operators import audit
 from loomtrace.plans import corpus
 from loomtrace.plans.facts import analyze
@@ -79,3 +80,22 @@ def test_listed_columns_of_partitions_and_multi_inserts(spark):
     got = binding(spark, script, ["a", "b", "dt"])
     assert got[:2] == [("001", "x", "b", "applied"), ("001", "y", "a", "applied")]
     assert [x[1:] for x in got[2:]] == [("x", "dt", "applied"), ("y", "b", "applied"), ("x", "a", "applied"), ("y", "b", "applied"), ("z", "dt", "applied")]
+
+
+# -- gate
+
+
+def test_strict_fails_on_writes_that_do_not_fit(spark):
+    cols = spark.createDataFrame([("m.t", 0, "a"), ("m.t", 1, "b")], "relation string, ordinal int, column string")
+    f = analyze(spark, [("short", "INSERT INTO m.t SELECT a FROM s"), ("long", "INSERT INTO cat.m.t SELECT a, b, c FROM s"), ("fits", "INSERT INTO m.t (b) SELECT a FROM s")])
+    found = {level: {r.task: r.failures for r in audit.quality_gate(f, level, cols).filter("not passed").collect()} for level in ("permissive", "balanced", "strict")}
+    assert found == {"permissive": {}, "balanced": {}, "strict": {"short": "binding_fallback", "long": "binding_fallback"}}
+
+
+def test_command_line_fails_on_binding_fallback(spark, tmp_path):
+    (tmp_path / "job.sql").write_text("INSERT INTO m.t SELECT a FROM s")
+    (tmp_path / "columns.csv").write_text("table_name,column_name\nm.t,a\nm.t,b\ns,a\n")
+    call = ["parse", "--sql-file", str(tmp_path / "job.sql"), "--schema", str(tmp_path / "columns.csv"), "--out"]
+    assert main([*call, str(tmp_path / "one"), "--quality", "balanced"]) == 0
+    assert main([*call, str(tmp_path / "two"), "--quality", "strict"]) == 1
+    assert main([*call, str(tmp_path / "three"), "--fail-on-binding-fallback"]) == 1
