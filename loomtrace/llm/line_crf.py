@@ -60,8 +60,9 @@ def line_features(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.concatenate([[True], nl[:-1]]) | cut[:-1]
     after = np.concatenate([nl[1:], [True]]) | cut[1:]
     starts, ends = np.flatnonzero(~nl & before), np.flatnonzero(~nl & after) + 1
-    # even entries of this edge list are lines, odd ones the gaps between them
-    edge = np.minimum(np.stack([starts, ends], 1).ravel(), len(data) - 1)
+    # even entries of this edge list are lines, odd ones the gaps between them; a byte of no class makes the last end an index
+    edge = np.stack([starts, ends], 1).ravel()
+    padded = np.append(data, np.uint8(10))
 
     def total(flags: np.ndarray) -> np.ndarray:
         got = np.add.reduceat(flags, edge, dtype=np.int32)[::2]
@@ -70,7 +71,7 @@ def line_features(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(starts):
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0, np.int64), np.zeros(n_docs + 1, np.int64)
     size = ends - starts
-    counts = {k: total(t[data]) for k, t in _TABLES.items()}
+    counts = {k: total(t[padded]) for k, t in _TABLES.items()}
     solid = counts["space"] < size
     starts, ends, size = starts[solid], ends[solid], size[solid]
     n = len(starts)
