@@ -7,22 +7,25 @@ and a document's quality is the mean of the marginals weighted by line length.
 
 Training fits all weights by L-BFGS on the conditional likelihood of labelled documents,
 where each line carries its document's label.  At most ``sample_docs`` labelled
-documents are used (the least hashes of their ids), those with over ``sample_lines`` lines
-left out, so at most 6,000 x 200 lines of 30 small numbers, 144 MB, reach the driver; all else
-about the job covers whole texts of whole tables.
+documents that have lines are used (the least hashes of their ids): half of each class, or more where the
+other class has fewer.  Of a document the first ``sample_lines`` lines are used, so at most
+6,000 x 200 lines of 30 small numbers, 144 MB, reach the driver; all else about the job covers
+whole texts of whole tables.
 
 Scoring is a map: no shuffle, one result for every input row.
 
 Defined results
   * null text, empty text and text of blank lines: quality 0, no lines, not good.
   * labels that are null, or contradict each other for one id, are not trained on.
-  * with fewer than two classes of labels there is no model: every line is good.
+  * with fewer than two classes of labels there is no model: every line is good.  Where the labels
+    hold both, but only one has documents with lines, a RuntimeWarning says so.
   * repeated rows: one equal result each; null doc_id: scored like any other row.
   * empty tables: empty result.  Extra columns are not read (``keep_good`` passes them on).
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keyed
+from .common import cut, keyed
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -223,18 +226,30 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, l2: float = 1.0, ro
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_lines: int = 200, l2: float = 1.0) -> Model | None:
-    """Fit on a bounded sample; ``None`` where the labels hold fewer than two classes."""
+    """Fit on a bounded sample of both classes; ``None`` where the labelled documents with lines hold fewer than two."""
     told = keyed(labels, "doc_id", "quality").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__lo"), F.max("quality").alias("__hi")).filter("__lo = __hi")
-    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("doc_id", F.col("__lo").alias("label"))
+    told = told.select("doc_id", F.col("__lo").alias("label"))
+    good = F.col("label") > 0
+    lined = keyed(docs, "doc_id", "text").filter(F.col("text").rlike(r"[^ \t\r\n]")).select("doc_id")
+    usable = cut(told.join(lined, "doc_id", "left_semi"))
+    n_good, n_bad = usable.agg(F.count_if(good), F.count_if(~good)).first()
+    half = max(1, sample_docs // 2)
+    of = lambda mine, n, other: usable.filter(mine).orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(n, max(half, sample_docs - other)))
+    picked = of(good, n_good, n_bad).union(of(~good, n_bad, n_good))
+    if not n_good or not n_bad:
+        if told.select(good.alias("c")).distinct().count() > 1:
+            warnings.warn("labels hold two classes, but the documents with lines only " + ("one" if n_good or n_bad else "none") + " of them: no model, every line is good", RuntimeWarning, stacklevel=2)
+        return None
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, offs, data in K.blocks(batch.column(1)):
                 x, _, first = line_features(offs, data)
                 n = np.diff(first)
-                fits = np.flatnonzero((n > 0) & (n <= sample_lines))
-                rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in fits]) if len(fits) else np.zeros(0, np.int64)
-                at = np.concatenate([[0], np.cumsum(n[fits] * x.shape[1])]).astype(np.int32)
+                fits = np.flatnonzero(n)
+                n = np.minimum(n[fits], sample_lines)
+                rows = np.concatenate([np.arange(first[d], first[d] + k) for d, k in zip(fits, n)]) if len(fits) else np.zeros(0, np.int64)
+                at = np.concatenate([[0], np.cumsum(n * x.shape[1])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(at), pa.array(x[rows].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(fits)), batch.column(2).slice(i, j - i).take(pa.array(fits)), flat], ["doc_id", "label", "x"])
 
@@ -244,8 +259,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_li
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     n = np.array([len(v) // len(FEATURES) for v in got.column("x")], np.int64)
     label = (got.column("label").to_numpy() > 0).astype(int)
-    if len(set(label.tolist())) < 2:
-        return None
     order = np.lexsort((n, got.column("doc_id").to_numpy()))  # results must not hang on arrival order
     first = np.concatenate([[0], np.cumsum(n)])
     x = np.concatenate([x[first[d] : first[d + 1]] for d in order])
