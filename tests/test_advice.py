@@ -99,3 +99,13 @@ def test_command_line_fails_on_binding_fallback(spark, tmp_path):
     assert main([*call, str(tmp_path / "one"), "--quality", "balanced"]) == 0
     assert main([*call, str(tmp_path / "two"), "--quality", "strict"]) == 1
     assert main([*call, str(tmp_path / "three"), "--fail-on-binding-fallback"]) == 1
+
+
+# -- warnings
+
+
+def test_failed_statements_are_among_the_warnings(spark):
+    from loomtrace.plans import fact_queries
+
+    got = fact_queries.queries()["q_x30_warnings"](spark, "").filter("type = 'LINEAGE_ERROR'").collect()
+    assert [(r.task, r.stmt, r.scope) for r in got] == [("upkeep", "stmt:009", "ROOT")]
