@@ -1,21 +1,50 @@
-"""Shared plumbing: input normalisation, lineage cuts, connected components."""
+"""Shared plumbing: input normalisation, lineage cuts, shared files, row choice, connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Point the context at ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+def checkpoint_ready(spark: SparkSession) -> str:
+    """The shared checkpoint folder, read from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder stands in on a local master alone; on a cluster, whose
+    executors share no such folder, it is an error.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{checkpoint_ready(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data; nothing where it is gone already."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none where it does not exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,37 +53,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    """The named columns only, without rows whose key is null (they cannot be named in a result)."""
-    return df.select(F.col(key).cast("bigint").alias(key), *[F.col(c) for c in cols]).filter(F.col(key).isNotNull())
+def keyed(df: DataFrame, key: str, *cols: str | Column) -> DataFrame:
+    """The named columns only, without rows whose key is null or no whole number (they cannot be named in a result)."""
+    number = F.col(key).try_cast("bigint")
+    return df.select(number.alias(key), *[F.col(c) if isinstance(c, str) else c for c in cols]).filter(F.col(key).isNotNull())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is not among ``ids``; rows with a null key stay."""
-    gone = ids.select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name, n = {c.lower() for c in df.columns}, base, 1
+    while name in taken:
+        name, n = f"{base}_{n}", n + 1
+    return name
+
+
+def tag(text: str | Column = "text") -> Column:
+    """Tells apart the texts of one id; nothing else is compared by it."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, by_text: bool) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text) is not among ``gone`` ``(doc_id, tag)``; null ids and null texts stay.
+
+    With ``by_text`` false every text of a listed id goes; the caller knows that ids have one text each.
+    """
+    key, mark = fresh(docs, "gone_id"), fresh(docs, "gone_tag")
+    ids = gone.select(F.col("doc_id").alias(key), *([F.col("tag").alias(mark)] if by_text else [])).distinct()
+    same = F.col("doc_id").try_cast("bigint") == F.col(key)
+    return docs.join(ids, same & (tag() == F.col(mark)) & F.col("text").isNotNull() if by_text else same, "left_anti")
+
+
+def repeated_ids(docs: DataFrame) -> tuple[bool, bool]:
+    """(whether some (doc_id, text) is in several rows, whether some id has several texts), null ids and texts left out."""
+    tagged = keyed(docs, "doc_id", "text").filter("text is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(tag()) != F.max(tag())).alias("several"))
+    got = tagged.filter("n > 1").agg(F.count("*"), F.bool_or("several")).first()
+    return got[0] > 0, bool(got[1])
 
 
-def one_row_per_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Repeated rows of one key collapse to one.
+def one_row_per_text(docs: DataFrame) -> DataFrame:
+    """Rows of one (doc_id, text) collapse to one, the smallest as JSON; null ids and null texts are left alone.
 
-    Only ids move to find repeats; full rows move for the repeated keys alone.
-    The survivor is the smallest row by (every comparable column, as strings), so
-    the choice does not depend on partitioning.  Null keys are left alone.
+    Only ids and tags move to find repeats; full rows move for repeated ones alone.
     """
-    again = docs.groupBy(key).count().filter(F.col("count") > 1).select(F.col(key).alias("__again")).filter("__again is not null")
-    again = cut(again)
+    name = fresh(docs, "tag")
+    counted = keyed(docs, "doc_id", "text").filter("text is not null").groupBy("doc_id", tag().alias("tag")).count().filter("count > 1").select("doc_id", "tag")
+    again = cut(counted)
     if again.isEmpty():
         return docs
-    single = docs.join(again, F.col(key) == F.col("__again"), "left_anti")
-    repeated = docs.join(again, F.col(key) == F.col("__again"), "left_semi")
-    order = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return single.unionByName(repeated.withColumn("__rank", rank).filter("__rank = 1").drop("__rank"))
+    single = without(docs, again, True)
+    row = fresh(docs, "row")
+    marked = docs.filter(F.col("text").isNotNull()).withColumn(name, tag())
+    key = fresh(marked, "again_id")
+    other = again.select(F.col("doc_id").alias(key), F.col("tag").alias(f"{key}_tag"))
+    hit = marked.join(other, (F.col("doc_id").try_cast("bigint") == F.col(key)) & (F.col(name) == F.col(f"{key}_tag")), "left_semi")
+    # a least row is found with map-side combine, so a row repeated any number of times is no hot group
+    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"})
+    least = hit.groupBy("doc_id", name).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), order).alias(row))
+    return single.unionByName(least.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -68,8 +127,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        return both.withColumn("m", low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # a hub's neighbours are reduced before they move, and the join may split them, so no task holds a hub
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        up = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        return up.filter("u <> v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

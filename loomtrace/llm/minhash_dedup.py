@@ -12,16 +12,22 @@ allowance is enumerated on both sides by leaving out every choice of ``e_i`` pos
 and equal keys make candidates.  Candidates are verified on the full signatures, so the
 result is every pair within the distance and no other; there is no cap on bucket sizes.
 
-Documents with one signature are collapsed to their least id first, and their pairs are
-reported as a star, so exact copies cost linear work.
+Texts with one signature are collapsed to their least id first, so exact copies cost linear work.
+``near_duplicates`` counts every link between different signatures.  ``drop_near_duplicates``
+needs only what is connected: in each bucket every signature is tried against the bucket's least one, and pairs
+of a bucket are tried only where that left them in different groups, so a large group of near
+copies costs linear work there.  Both find the same groups.
 
 Defined results
   * words are runs of letters and digits (any byte outside ASCII counts as a letter), lower-cased.
-  * null text, empty text and text without a word: no signature, in no pair.
+  * null text, empty text and text without a word: no signature, in no group; they are never dropped.
   * a text shorter than a shingle is one shingle of all its words.
-  * null doc_id: ignored; repeated rows of an id with one text: one row.  An id whose rows
-    have different texts may be paired by any of them, never with itself.
-  * empty table: empty result.  Extra columns are not read.
+  * null doc_id, or one that is no whole number: ignored, never dropped.
+  * repeated rows of an id with one text: one text, which is no copy of itself.
+  * an id whose rows have different texts: each text is compared on its own; ``near_duplicates`` then has a row for
+    each of its signatures, ``drop_near_duplicates`` decides by (doc_id, text).
+  * ties: the least id, then the least text hash, represents a group.
+  * empty table: empty result.  Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, cut, keyed, one_row_per_key, without_ids
+from .common import components, cut, keyed, one_row_per_text, repeated_ids, tag, without
 
 SYMBOL_BITS = 16
 
@@ -66,17 +72,17 @@ def minima(offs: np.ndarray, data: np.ndarray, size: int, shingle: int, mult: np
 def _signer(size: int, shingle: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     rng = np.random.default_rng(991)
     mult, add = rng.integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, size, dtype=np.uint64)
-    mask, names = np.uint16((1 << bits) - 1), ["doc_id", "g", *[f"s{i}" for i in range(size // 4)]]
+    mask, names = np.uint16((1 << bits) - 1), ["doc_id", "tag", "g", *[f"s{i}" for i in range(size // 4)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, offs, data in K.blocks(K.lower(batch.column(1))):
+            for i, j, offs, data in K.blocks(K.lower(batch.column(2))):
                 rows, sig = minima(offs, data, size, shingle, mult, add)
                 packed = np.ascontiguousarray(sig & mask).view(np.int64)
                 low = np.zeros((len(rows), 64), np.uint8)
                 low[:, : min(size, 64)] = sig[:, :64] & 1
                 sketch = np.ascontiguousarray(np.packbits(low, axis=1)).view(np.int64)[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(sketch), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(size // 4)]], names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i).take(pa.array(rows)) for c in (0, 1)], pa.array(sketch), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(size // 4)]], names)
 
     return run
 
@@ -116,11 +122,11 @@ def _keyer(size: int, distance: int, chunks: int) -> Callable[[Iterator[pa.Recor
 
 
 def signatures(docs: DataFrame, size: int = 64, shingle: int = 2, bits: int = SYMBOL_BITS) -> DataFrame:
-    """``(doc_id, g, s0, s1, ...)``: four 16-bit symbols in each long, ``bits`` of each in use; ``g`` holds the lowest bit of each of the first 64."""
+    """``(doc_id, tag, g, s0, s1, ...)``: four 16-bit symbols in each long, ``bits`` of each in use; ``g`` holds the lowest bit of each of the first 64, ``tag`` tells texts of one id apart."""
     if size % 4 or not 1 <= bits <= 16:
         raise ValueError("size must be a multiple of 4 and bits between 1 and 16")
-    schema = "doc_id bigint, g bigint, " + ", ".join(f"s{i} bigint" for i in range(size // 4))
-    return keyed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_signer(size, shingle, bits), schema)
+    schema = "doc_id bigint, tag bigint, g bigint, " + ", ".join(f"s{i} bigint" for i in range(size // 4))
+    return keyed(docs, "doc_id", tag().alias("tag"), "text").filter(F.col("text").isNotNull()).mapInArrow(_signer(size, shingle, bits), schema)
 
 
 def _distance(n_longs: int, a: str, b: str) -> F.Column:
@@ -138,34 +144,86 @@ def _distance(n_longs: int, a: str, b: str) -> F.Column:
     return total
 
 
+class Index:
+    """Distinct signatures, each named by the least id and text that has it, and their bucket keys."""
+
+    def __init__(self, docs: DataFrame, several: bool, size: int, distance: int, chunks: int, shingle: int, bits: int) -> None:
+        self.size, self.distance = size, distance
+        self.longs = [f"s{i}" for i in range(size // 4)]
+        one = F.struct("doc_id", "tag") if several else F.col("doc_id")
+        #: (node, g, s0, ...) of every text with a signature; a node is its id, or id and tag where ids have several texts
+        self.texts = cut(signatures(docs, size, shingle, bits).select(one.alias("node"), "g", *self.longs).distinct())
+        # least ids are found with map-side combine, so a signature that a third of all texts share is no hot group
+        self.firsts = cut(self.texts.groupBy("g", *self.longs).agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+        self.reps = self.firsts.select(F.col("rep").alias("node"), "g", *self.longs)
+        node = "struct<doc_id: bigint, tag: bigint>" if several else "bigint"
+        self.keys = self.reps.mapInArrow(_keyer(size, distance, chunks), f"key bigint, node {node}, g bigint")
+
+    def members(self) -> DataFrame:
+        """``(node, rep)`` of the texts whose signature another text has too, their representative left out."""
+        shared = self.firsts.filter("n > 1").drop("n")
+        return self.texts.join(shared, ["g", *self.longs]).filter("node <> rep").select("node", "rep")
+
+    def close(self, tried: DataFrame) -> DataFrame:
+        """``(a, b, distance)`` of those pairs ``(a, b)`` of representatives that lie within the distance."""
+        x, y = self.reps.alias("x"), self.reps.alias("y")
+        met = tried.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+        return met.withColumn("distance", _distance(self.size // 4, "x", "y")).filter(F.col("distance") <= self.distance).select("a", "b", "distance")
+
+    def _may(self, a: str, b: str) -> F.Column:
+        # low bits differ only where symbols do, so this drops no pair within the distance
+        return F.bit_count(F.col(f"{a}.g").bitwiseXOR(F.col(f"{b}.g"))) <= self.distance
+
+    def links(self) -> DataFrame:
+        """``(a, b, distance)``, ``a < b``: all pairs of representatives within the distance."""
+        a, b = self.keys.alias("a"), self.keys.alias("b")
+        tried = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & self._may("a", "b"))
+        return self.close(tried.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+
+    def groups(self) -> DataFrame:
+        """``(node, component)``: representatives that links connect, found without all pairs of a bucket."""
+        # a bucket's least node is found with map-side combine; every other member is tried against it
+        head = self.keys.groupBy("key").agg(F.min(F.struct("node", "g")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("h.node").alias("node"), F.col("h.g").alias("g"))
+        keys = cut(self.keys)
+        m, h = keys.alias("m"), head.alias("h")
+        star = m.join(h, (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & self._may("m", "h"))
+        edges = cut(self.close(star.select(F.col("h.node").alias("a"), F.col("m.node").alias("b")).distinct()).select("a", "b"))
+        found = cut(components(edges))
+        # what is left: members of one bucket that are not connected yet; a bucket that is one group has none
+        placed = keys.join(found, "node", "left").select("key", "node", "g", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        rest = cut(placed.join(mixed, "key", "left_semi"))
+        a, b = rest.alias("a"), rest.alias("b")
+        apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & self._may("a", "b"))
+        more = self.close(apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()).select("a", "b")
+        return components(edges.union(more))
+
+
 def near_duplicates(docs: DataFrame, size: int = 64, distance: int = 20, chunks: int = 20, shingle: int = 2, bits: int = SYMBOL_BITS) -> DataFrame:
-    """Pairs ``(a, b, distance)`` with ``a < b``.
+    """``(doc_id, class_id, same_id, links)`` of every document that has a copy or a near copy.
+
+    ``class_id`` is the least id that links connect it to, ``same_id`` the least id with its signature, ``links`` the number of
+    other signatures within the distance of its own; every link counts, on both of its sides.
+    """
+    several = repeated_ids(docs)[1]
+    index = Index(docs, several, size, distance, chunks, shingle, bits)
+    links = cut(index.links())
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    linked = components(links).join(ends, "node").select(F.col("node").alias("rep"), "component", "links")
+    copies = index.firsts.filter("n > 1").select("rep").join(linked, "rep", "full").select("rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    every = index.members().union(copies.select(F.col("rep").alias("node"), "rep")).join(copies, "rep")
+    name = lambda c: F.col(f"{c}.doc_id") if several else F.col(c)
+    return every.select(name("node").alias("doc_id"), name("component").alias("class_id"), name("rep").alias("same_id"), "links")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 64, distance: int = 20, chunks: int = 20, shingle: int = 2, bits: int = SYMBOL_BITS) -> DataFrame:
+    """``docs`` with the least (id, text) left of every group that near-duplicate pairs connect; texts without a signature stay.
 
-    Documents with one signature appear as ``(least id, other id, 0)``; signatures within
-    the distance appear once, through the least ids that have them.  So two documents are
-    within the distance exactly when their least ids are equal or are a listed pair.
+    Repeated rows of an id and text collapse to their smallest row.  Columns are passed on whatever their names.
     """
-    longs = [f"s{i}" for i in range(size // 4)]
-    low = Window.partitionBy(*longs).orderBy("doc_id")
-    marked = cut(signatures(docs, size, shingle, bits).distinct().withColumn("rep", F.first("doc_id").over(low)))
-    # an id whose rows differ has several signatures, so a signature is named by its id and its low bits
-    reps = marked.filter("doc_id = rep").select("doc_id", "g", *longs)
-    keys = reps.mapInArrow(_keyer(size, distance, chunks), "key bigint, doc_id bigint, g bigint")
-    a, b = keys.alias("a"), keys.alias("b")
-    ordered = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.g") < F.col("b.g")))
-    names = [F.col("a.doc_id").alias("ia"), F.col("a.g").alias("ga"), F.col("b.doc_id").alias("ib"), F.col("b.g").alias("gb")]
-    # low bits differ only where symbols do, so this drops no pair within the distance
-    may = F.bit_count(F.col("a.g").bitwiseXOR(F.col("b.g"))) <= distance
-    tried = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered & may).select(*names).filter("ia <> ib").distinct()
-    x, y = reps.alias("x"), reps.alias("y")
-    met = tried.join(x, (F.col("ia") == F.col("x.doc_id")) & (F.col("ga") == F.col("x.g"))).join(y, (F.col("ib") == F.col("y.doc_id")) & (F.col("gb") == F.col("y.g")))
-    close = met.withColumn("distance", _distance(size // 4, "x", "y")).filter(F.col("distance") <= distance)
-    pairs = close.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "distance")
-    stars = marked.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
-    return pairs.union(stars).groupBy("a", "b").agg(F.min("distance").alias("distance"))
-
-
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with the least id left of every group that near-duplicate pairs connect; texts without a signature stay."""
-    groups = components(near_duplicates(docs, **options))
-    return one_row_per_key(without_ids(docs, groups.filter("node <> component").select(F.col("node").alias("doc_id"))))
+    repeats, several = repeated_ids(docs)
+    index = Index(docs, several, size, distance, chunks, shingle, bits)
+    gone = index.members().select("node").union(index.groups().filter("node <> component").select("node"))
+    gone = gone.select("node.doc_id", "node.tag") if several else gone.select(F.col("node").alias("doc_id"))
+    left = without(docs, gone, several)
+    return one_row_per_text(left) if repeats else left
