@@ -118,8 +118,8 @@ def brute_leaks(docs, items, n, threshold):
     return {(d, i, o, need, s) for (d, i), (o, s, need) in out.items()}
 
 
-@pytest.mark.parametrize("n,threshold,limit", [(5, 0.7, 10**6), (5, 0.7, 0), (3, 0.4, 10**6), (8, 1.0, 0)])
-def test_contaminated(spark, n, threshold, limit):
+@pytest.mark.parametrize("n,threshold,block", [(5, 0.7, 10**6), (5, 0.7, 40), (3, 0.4, 10**6), (8, 1.0, 1), (1, 0.5, 100)])
+def test_contaminated(spark, n, threshold, block):
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, rng.choice([2, 6, 30, 60]), 300))) for i in range(12)] + [(20, ""), (21, None), (None, "a b c"), (22, "go go go go go go go go"), (3, "other text of item three that is short"), (23, "?!")]
     docs = []
@@ -133,11 +133,18 @@ def test_contaminated(spark, n, threshold, limit):
         docs.append((d, " ".join(w).title()))
     docs += [(90, None), (91, ""), (None, items[0][1]), (1, docs[1][1]), (1, items[5][1]), (92, "go " * 500), (93, " ".join(words(rng, 20_000, 300)) + " " + items[4][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = [tuple(r) for r in decontaminate.contaminated(frame(spark, docs), bench, n, threshold, limit).collect()]
+    got = [tuple(r) for r in decontaminate.contaminated(frame(spark, docs), bench, n, threshold, block).collect()]
     assert len(got) == len(set(got))
-    assert set(got) == brute_leaks(docs, items, n, threshold)
-    left = decontaminate.drop_contaminated(frame(spark, docs), bench, n=n, threshold=threshold, broadcast_limit=limit)
-    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, *_ in got}
+    single = brute_leaks([(k, t) if d is not None else (None, t) for k, (d, t) in enumerate(docs)], items, n, threshold)
+    best = {}
+    for k, item, overlap, need, size in single:
+        at = (docs[k][0], item)
+        best[at] = max(best.get(at, (0, 0, 0)), (overlap, size, need))
+    assert set(got) == {(d, i, o, need, size) for (d, i), (o, size, need) in best.items()}
+    left = decontaminate.drop_contaminated(frame(spark, docs), bench, n=n, threshold=threshold, block=block)
+    assert left.columns == frame(spark, docs).columns
+    want = [row for k, row in enumerate(docs) if k not in {k for k, *_ in single}]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in left.collect())
 
 
 def test_empty_sides(spark):
