@@ -83,7 +83,7 @@ def _warc_sql() -> str:
     text = f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
     return f"""
-        WITH p AS (SELECT page_id, coalesce(url, 'urn:page:' || page_id) AS target_uri, coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL),
+        WITH p AS (SELECT page_id, coalesce(translate(url, chr(13) || chr(10), '  '), 'urn:page:' || page_id) AS target_uri, coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL),
         q AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload) AS source_headers FROM p),
         r AS (SELECT *, {_urn("'response' || chr(10) || page_id || chr(10) || target_uri || chr(10) || source_digest")} AS refers_to FROM q),
         s AS (SELECT *, {_urn("'metadata' || chr(10) || refers_to")} AS m_id, {_urn("'conversion' || chr(10) || refers_to")} AS c_id, {text} AS c_block,
