@@ -6,23 +6,26 @@ language.  An unknown word is written ``^word$`` and scored by its 5-grams if an
 known, else by its 4-grams, and so on down to single characters; a word of which
 not even a character is known adds nothing.  The language with the greatest sum wins.
 
-Training counts a bounded sample of labelled rows (``sample_docs``, least hashes of the id)
-and keeps ``vocabulary`` words and ``grams`` n-grams of each length by frequency.
+Training counts a bounded sample of labelled rows: ``sample_docs`` of them (least hashes of the id), and of each
+at most ``sample_chars`` characters in a row, from a place that its hash chooses.  Every word and
+n-gram of the sample is kept, of small languages as of large ones.  Counting words is a Spark job; what reaches
+the driver is the sample's distinct words, and n-grams are counted there as arrays.
 Scoring covers every word of every text and is a map: no shuffle, one result for every input row.
+Words and n-grams are looked up by 64-bit hashes.
 
 Defined results
   * null text, empty text, text without a letter or digit, or with no known part: ``und``, margin 0.
   * ties: the language that sorts first.
   * no labelled rows: every text is ``und``.  Null labels are not trained on.
-  * repeated rows: one equal result each; null doc_id: scored like any other row.
-  * empty tables: empty result.  Extra columns are not read.
+  * an id with several texts or labels: each (id, label) that is picked is trained on with all its texts.
+  * repeated rows: one equal result each; null doc_id, or one that is no whole number: scored like any other row, under null.
+  * empty tables: empty result.  Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,83 +41,36 @@ LENGTHS = (5, 4, 3, 2, 1)
 CACHE = 300_000
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    framed = f"^{word}$" if n > 1 else word
-    return [framed[i : i + n] for i in range(len(framed) - n + 1)]
+def joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes) of words laid end to end."""
+    raw = [w.encode() for w in words]
+    return np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8)
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, tuple[dict[str, int], np.ndarray]]
-
-    def word(self, w: str) -> np.ndarray:
-        """Log-frequency scores of one word in every language."""
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        for n in LENGTHS:
-            index, table = self.grams[n]
-            found = [index[g] for g in grams_of(w, n) if g in index]
-            if found:
-                return table[found].sum(0) / len(found)
-        return np.zeros(len(self.languages))
-
-
-def _logs(counts: dict[str, Counter], languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Additive smoothing of one half over the kept keys; keys kept by total count, then by name."""
-    total: Counter = Counter()
-    for lang in languages:
-        total.update(counts[lang])
-    kept = sorted(total, key=lambda k: (-total[k], k))[:most]
-    if not kept:
-        return {}
-    table = np.array([[counts[lang][k] for lang in languages] for k in kept], float).reshape(-1, len(languages)) + 0.5
-    return dict(zip(kept, np.log(table / table.sum(0)).astype(np.float64)))
-
-
-def model_from_counts(words: dict[str, Counter], vocabulary: int = 50_000, grams: int = 20_000) -> Model:
-    languages = sorted(words)
-    by_n: dict[int, tuple[dict[str, int], np.ndarray]] = {}
-    for n in LENGTHS:
-        counted: dict[str, Counter] = {}
-        for lang in languages:
-            c: Counter = Counter()
-            for w, k in words[lang].items():
-                for g in grams_of(w, n):
-                    c[g] += k
-            counted[lang] = c
-        logs = _logs(counted, languages, grams)
-        by_n[n] = ({g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(-1, max(1, len(languages))))
-    return Model(languages, _logs(words, languages, vocabulary), by_n)
-
-
-def train(docs: DataFrame, sample_docs: int = 4000, vocabulary: int = 50_000, grams: int = 20_000, sample_words: int = 200_000) -> Model:
-    """Count words by language over the sample; the ``sample_words`` most frequent (language, word) pairs reach the driver."""
-    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang")).filter("doc_id is not null and lang is not null").distinct()
-    picked = told.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(sample_docs)
-    # the hint is safe: the side has at most sample_docs rows
-    rows = keyed(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
-    # one-letter runs of digits and the like are words too: what scoring sees is what is counted
-    split = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = split.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(sample_words)
-    words: dict[str, Counter] = {}
-    for r in counted.toArrow().to_pylist():
-        words.setdefault(r["lang"], Counter())[r["word"]] = r["count"]
-    return model_from_counts(words, vocabulary, grams)
+class Framed:
+    """Words written ``^word$``, and where their characters begin."""
 
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        size = ends - starts
+        edge = np.concatenate([[0], np.cumsum(size + 2)])
+        self.bytes = np.full(edge[-1], 94, np.uint8)
+        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.bytes[np.repeat(edge[:-1] + 1, size) + flat] = data[np.repeat(starts, size) + flat]
+        self.bytes[edge[1:] - 1] = 36
+        lead = (self.bytes & 0xC0) != 0x80  # bytes that begin a character
+        self.chars = np.append(np.flatnonzero(lead), edge[-1])
+        self.first = np.searchsorted(self.chars, edge)
 
-def _hashes(keys: list[str]) -> np.ndarray:
-    """Hashes of strings, as ``kernels.span_hashes`` gives them inside a text."""
-    raw = [k.encode() for k in keys]
-    edge = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return K.span_hashes(data, edge[:-1], edge[1:]) if raw else np.zeros(0, np.uint64)
+    def grams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, place in ``words``) of all ``n``-grams of some words; single characters are those inside the frame."""
+        a, z = (self.first[words], self.first[words + 1]) if n > 1 else (self.first[words] + 1, self.first[words + 1] - 1)
+        per = np.maximum(z - a - n + 1, 0)
+        at = np.repeat(a, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        return K.span_hashes(self.bytes, self.chars[at], self.chars[at + n]), np.repeat(np.arange(len(words)), per)
 
 
 class Table:
-    """Score rows by 64-bit hash, found by binary search."""
+    """Rows of numbers by 64-bit hash, found by binary search."""
 
     def __init__(self, hashes: np.ndarray, rows: np.ndarray) -> None:
         by = np.argsort(hashes, kind="stable")
@@ -128,17 +84,60 @@ class Table:
         return self.hashes[at] == h, at
 
 
-class Scorer:
-    """Scores of all words of a block at once: each distinct word is looked up or backed off once, and remembered.
+def logs(hashes: np.ndarray, language: np.ndarray, counts: np.ndarray, width: int) -> Table:
+    """Log relative frequencies in every language.
 
-    Hashes stand for words and n-grams here; ``Model.word`` is the same rule word by word.
+    What a language lacks counts as half an occurrence in the largest one, so that little text is no advantage.
     """
+    keys, back = np.unique(hashes, return_inverse=True)
+    rows = np.bincount(back * width + language, counts, minlength=len(keys) * width).reshape(-1, width)
+    total = rows.sum(0)
+    most = max(float(total.max(initial=0)), 1.0)
+    return Table(keys, np.log(np.where(rows > 0, rows / np.maximum(total, 1), 0.5 / most)))
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    words: Table
+    grams: dict[int, Table] = field(default_factory=dict)
+
+
+def fit(words: list[str], language: np.ndarray, counts: np.ndarray, languages: list[str]) -> Model:
+    """A model of ``(word, index of its language, count)`` triples."""
+    width, (edge, data) = max(1, len(languages)), joined(words)
+    model = Model(languages, logs(K.span_hashes(data, edge[:-1], edge[1:]), language, counts, width))
+    framed, every = Framed(data, edge[:-1], edge[1:]), np.arange(len(words))
+    for n in LENGTHS:
+        h, word = framed.grams(every, n)
+        model.grams[n] = logs(h, language[word], counts[word], width)
+    return model
+
+
+def train(docs: DataFrame, sample_docs: int = 4000, sample_chars: int = 20_000) -> Model:
+    """Count words by language over the sample."""
+    told = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("lang").alias("lang")).filter("doc_id is not null and lang is not null").distinct()
+    picked = told.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(sample_docs)
+    # the hint is safe: the side has at most sample_docs rows
+    rows = keyed(docs, "doc_id", F.col("text").alias("body"), F.col("lang").alias("own")).filter("body is not null").join(F.broadcast(picked), "doc_id").filter("own = lang").distinct()
+    spare = F.greatest(F.length("body") - sample_chars, F.lit(0)) + 1
+    part = F.substring("body", (F.pmod(F.xxhash64("body"), spare) + 1).cast("int"), F.lit(sample_chars))
+    # one-letter runs of digits and the like are words too: what scoring sees is what is counted
+    split = rows.select("lang", F.explode(F.regexp_extract_all(F.lower(part), F.lit(WORD), F.lit(0))).alias("word"))
+    counted = split.groupBy("lang", "word").count().toArrow()
+    lang, word, n = counted.column("lang").to_pylist(), counted.column("word").to_pylist(), counted.column("count").to_numpy()
+    languages = sorted(set(lang))
+    order = sorted(range(len(word)), key=lambda k: (lang[k], word[k]))
+    place = {x: k for k, x in enumerate(languages)}
+    return fit([word[k] for k in order], np.array([place[lang[k]] for k in order], np.int64), n[order].astype(float), languages)
+
+
+class Scorer:
+    """Scores of all words of a block at once: each distinct word is looked up or backed off once, and remembered."""
 
     def __init__(self, model: Model) -> None:
         self.width = max(1, len(model.languages))
-        stack = lambda d: np.array(list(d.values()), float).reshape(-1, self.width)
-        self.words = Table(_hashes(list(model.words)), stack(model.words))
-        self.grams = {n: Table(_hashes(list(index)), table.reshape(-1, self.width)) for n, (index, table) in model.grams.items()}
+        self.words, self.grams = model.words, model.grams
         self.forget()
 
     def forget(self) -> None:
@@ -147,25 +146,15 @@ class Scorer:
 
     def backoff(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score rows, whether anything was known) of words that no vocabulary holds."""
-        n_words, size = len(starts), ends - starts
+        n_words, framed = len(starts), Framed(data, starts, ends)
         rows, known = np.zeros((n_words, self.width)), np.zeros(n_words, bool)
-        edge = np.concatenate([[0], np.cumsum(size + 2)])
-        framed = np.full(edge[-1], 94, np.uint8)
-        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        framed[np.repeat(edge[:-1] + 1, size) + flat] = data[np.repeat(starts, size) + flat]
-        framed[edge[1:] - 1] = 36
-        lead = (framed & 0xC0) != 0x80  # bytes that begin a character
-        chars = np.append(np.flatnonzero(lead), edge[-1])
-        first = np.searchsorted(chars, edge)  # each word's first character, and the total
         todo = np.arange(n_words)
         for n in LENGTHS:
             if not len(todo):
                 break
-            a, z = (first[todo], first[todo + 1]) if n > 1 else (first[todo] + 1, first[todo + 1] - 1)
-            per = np.maximum(z - a - n + 1, 0)
-            at = np.repeat(a, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            hit, row = self.grams[n].find(K.span_hashes(framed, chars[at], chars[at + n]))
-            word = np.repeat(np.arange(len(todo)), per)[hit]
+            h, word = framed.grams(todo, n)
+            hit, row = self.grams[n].find(h)
+            word = word[hit]
             count = np.bincount(word, minlength=len(todo))
             for c in range(self.width):
                 total = np.bincount(word, self.grams[n].rows[row[hit], c], minlength=len(todo))
@@ -227,5 +216,5 @@ def scorer(model: Model) -> F.Column:
 def languages(docs: DataFrame, **sample: int) -> DataFrame:
     """``(doc_id, language, margin, words)`` for every row; ``margin`` is the lead over the next language per word."""
     identify = scorer(train(docs, **sample))
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), identify("text").alias("r"))
+    got = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), identify("text").alias("r"))
     return got.select("doc_id", "r.language", F.round("r.margin", 6).alias("margin"), "r.words")
