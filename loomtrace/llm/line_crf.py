@@ -6,9 +6,11 @@ links adjacent lines.  Forward-backward gives each line's marginal of being good
 and a document's quality is the mean of the marginals weighted by line length.
 
 Training fits all weights by L-BFGS on the conditional likelihood of labelled documents,
-where each line carries its document's label.  At most ``sample_docs`` labelled
-documents that have lines are used (the least hashes of their ids): half of each class, or more where the
-other class has fewer.  Of a document the first ``sample_lines`` lines are used, so at most
+where each line carries its document's label.  So that the transitions see good and bad lines side by
+side, every good document of the sample is also spliced with a bad one, lines of the one before or after lines of the
+other.  At most ``sample_docs`` labelled documents that have lines are used (the least hashes of their
+ids): half of each class, or more where the other class has fewer.  Of an id with several rows one text is
+used, and of a text at most ``sample_lines`` lines in a row, from a place that its hash chooses, so at most
 6,000 x 200 lines of 30 small numbers, 144 MB, reach the driver; all else about the job covers
 whole texts of whole tables.
 
@@ -19,8 +21,9 @@ Defined results
   * labels that are null, or contradict each other for one id, are not trained on.
   * with fewer than two classes of labels there is no model: every line is good.  Where the labels
     hold both, but only one has documents with lines, a RuntimeWarning says so.
-  * repeated rows: one equal result each; null doc_id: scored like any other row.
-  * empty tables: empty result.  Extra columns are not read (``keep_good`` passes them on).
+  * repeated rows: one equal result each; null doc_id, or one that is no whole number: scored like any other row, under null.
+  * ties: a quality of exactly ``threshold`` is good.
+  * empty tables: empty result.  Extra columns are not read, whatever their names (``keep_good`` passes them on).
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, keyed
+from .common import cut, fresh, keyed
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -99,20 +102,20 @@ def line_features(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     tail, head = data[ends - 1], data[starts]
     f["ends"] = np.isin(tail, list(b".!?")).astype(float)
     f["opens"] = (((head >= 65) & (head <= 90)) | (head >= 128)).astype(float)
+    return with_neighbours(np.stack([f[name] for name in OWN], 1).astype(np.float32), first), size, first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All features of lines from their own ones; the first and last line of a text are their own missing neighbours."""
+    n = len(own)
     is_first, is_last = np.zeros(n, bool), np.zeros(n, bool)
     some = np.flatnonzero(np.diff(first))
     is_first[first[some]] = True
     is_last[first[some + 1] - 1] = True
-    x = np.empty((n, len(FEATURES)), np.float32)
-    for c, name in enumerate(OWN):
-        x[:, c] = f[name]
-    c = len(OWN)
-    for name in NEIGHBOUR:
-        x[:, c] = np.where(is_first, f[name], np.roll(f[name], 1))
-        x[:, c + len(NEIGHBOUR)] = np.where(is_last, f[name], np.roll(f[name], -1))
-        c += 1
-    x[:, -2], x[:, -1] = is_first, is_last
-    return x, size, first
+    shared = own[:, [OWN.index(name) for name in NEIGHBOUR]]
+    before = np.where(is_first[:, None], shared, np.roll(shared, 1, 0))
+    after = np.where(is_last[:, None], shared, np.roll(shared, -1, 0))
+    return np.concatenate([own, before, after, is_first[:, None], is_last[:, None]], 1).astype(np.float32)
 
 
 @dataclass
@@ -174,11 +177,11 @@ class Model:
 
 
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, l2: float = 1.0, rounds: int = 80) -> Model:
-    """Maximum conditional likelihood with an L2 penalty, by limited-memory BFGS."""
+    """Maximum conditional likelihood with an L2 penalty, by limited-memory BFGS; ``label`` has one entry for each line."""
     mean, std = x.mean(0), np.maximum(x.std(0), 1e-3)
     chains = Chains.of(first)
     z = ((x - mean) / std)[chains.order].astype(np.float64)
-    y = np.repeat(label, np.diff(first))[chains.order].astype(float)
+    y = label[chains.order].astype(float)
     s = chains.steps
     gold = np.zeros((2, 2))
     for t in range(1, len(s) - 1):
@@ -243,26 +246,39 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_li
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            spot = batch.column(3).to_numpy(zero_copy_only=False)
             for i, j, offs, data in K.blocks(batch.column(1)):
                 x, _, first = line_features(offs, data)
                 n = np.diff(first)
                 fits = np.flatnonzero(n)
-                n = np.minimum(n[fits], sample_lines)
-                rows = np.concatenate([np.arange(first[d], first[d] + k) for d, k in zip(fits, n)]) if len(fits) else np.zeros(0, np.int64)
-                at = np.concatenate([[0], np.cumsum(n * x.shape[1])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(at), pa.array(x[rows].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(fits)), batch.column(2).slice(i, j - i).take(pa.array(fits)), flat], ["doc_id", "label", "x"])
-
-    # the hint is safe: the side has at most sample_docs rows of two numbers
-    chosen = keyed(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    got = chosen.mapInArrow(extract, "doc_id bigint, label int, x array<float>").toArrow()
-    x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)), np.float32)
-    n = np.array([len(v) // len(FEATURES) for v in got.column("x")], np.int64)
-    label = (got.column("label").to_numpy() > 0).astype(int)
-    order = np.lexsort((n, got.column("doc_id").to_numpy()))  # results must not hang on arrival order
-    first = np.concatenate([[0], np.cumsum(n)])
-    x = np.concatenate([x[first[d] : first[d + 1]] for d in order])
-    return fit(x, np.concatenate([[0], np.cumsum(n[order])]), label[order], l2)
+                k = np.minimum(n[fits], sample_lines)
+                start = first[fits] + spot[i:j][fits] % (n[fits] - k + 1)
+                rows = np.concatenate([np.arange(a, a + m) for a, m in zip(start, k)]) if len(fits) else np.zeros(0, np.int64)
+                at = np.concatenate([[0], np.cumsum(k * len(OWN))]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(x[rows][:, : len(OWN)]).ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i).take(pa.array(fits)) for c in (0, 2)], flat], ["doc_id", "label", "x"])
+
+    # the hint is safe: the side has at most sample_docs rows of two numbers; a text is chosen of each id with map-side combine
+    named = keyed(docs, "doc_id", "text").filter(F.col("text").rlike(r"[^ \t\r\n]")).join(F.broadcast(picked), "doc_id")
+    chosen = named.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"), F.max(F.col("label").cast("int")).alias("label"))
+    rows = chosen.select("doc_id", F.col("m.text").alias("text"), "label", F.pmod("m.h", F.lit(1 << 30)).alias("spot"))
+    got = rows.mapInArrow(extract, "doc_id bigint, label int, x array<float>").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # results must not hang on arrival order
+    label = (got.column("label").to_numpy() > 0).astype(int)[order]
+    own = [np.asarray(got.column("x")[int(d)].values, np.float32).reshape(-1, len(OWN)) for d in order]
+    return fit(*spliced(own, label), l2)
+
+
+def spliced(own: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, first lines, labels of lines) of the documents, and of one mixed text for each pair of a good and a bad one."""
+    texts = [(x, np.full(len(x), y)) for x, y in zip(own, label)]
+    good, bad = [t for t in texts if t[1][0]], [t for t in texts if not t[1][0]]
+    for k, (a, b) in enumerate(zip(good, bad)):
+        a, b = (a, b) if k % 2 else (b, a)
+        m, n = (len(a[0]) + 1) // 2, (len(b[0]) + 1) // 2
+        texts.append((np.concatenate([a[0][:m], b[0][-n:]]), np.concatenate([a[1][:m], b[1][-n:]])))
+    first = np.concatenate([[0], np.cumsum([len(x) for x, _ in texts])])
+    return with_neighbours(np.concatenate([x for x, _ in texts]), first), first, np.concatenate([y for _, y in texts])
 
 
 def scorer(model: Model | None) -> F.Column:
@@ -288,12 +304,11 @@ def scorer(model: Model | None) -> F.Column:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample: float) -> DataFrame:
     """``(doc_id, quality, lines, bad_lines, good)`` for every row of ``docs``."""
     score = scorer(train(docs, labels, **sample))
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score("text").alias("q"))
+    scored = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), score("text").alias("q"))
     return scored.select("doc_id", F.round("q.quality", 6).alias("quality"), "q.lines", "q.bad_lines", ((F.col("q.lines") > 0) & (F.col("q.quality") >= threshold)).alias("good"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample: float) -> DataFrame:
     """Rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
-    score = scorer(train(docs, labels, **sample))
-    scored = docs.withColumn("__q", score("text"))
-    return scored.filter((F.col("__q.lines") > 0) & (F.col("__q.quality") >= threshold)).drop("__q")
+    score, q = scorer(train(docs, labels, **sample)), fresh(docs, "quality_of_text")
+    return docs.withColumn(q, score("text")).filter((F.col(f"{q}.lines") > 0) & (F.col(f"{q}.quality") >= threshold)).drop(q)
