@@ -14,12 +14,13 @@ or else of their lengths in characters; in each conversation the ``keep`` best b
 
 Defined results
   * null conv_id or turn: ignored.  Null role: ``unknown``; null text: empty; null score: 0.
+  * an identifier or score of another type counts as the number that it spells, or else as null.
   * repeated rows of one (conv_id, turn): the one with the least (role, text, parent, score) stays.
   * a parent that is null, is no message of the conversation or is the message itself: a root.
   * messages whose ancestry runs in a circle have no root and are on no path.
   * ties of score: the longer path, then the lesser leaf turn.
   * marks in a text that look like the format's own are broken by a space, so a text can't end its message.
-  * empty table: empty result.  Other columns are not read.
+  * empty table: empty result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ def single_rows(conversations: DataFrame) -> DataFrame:
     """
     have = conversations.columns
     base = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
-        F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        *([F.col("parent").cast("bigint").alias("parent")] if "parent" in have else []),
-        *([F.col("score").cast("double").alias("score")] if "score" in have else []),
+        F.col("conv_id").try_cast("bigint").alias("conv_id"), F.col("turn").try_cast("bigint").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *([F.col("parent").try_cast("bigint").alias("parent")] if "parent" in have else []),
+        *([F.col("score").try_cast("double").alias("score")] if "score" in have else []),
     ).filter("conv_id is not null and turn is not null")
     again = cut(base.groupBy("conv_id", "turn").count().filter("count > 1").select("conv_id", "turn"))
     if again.isEmpty():

@@ -118,7 +118,7 @@ def test_gradient():
     first = np.concatenate([[0], np.cumsum(n)])
     x, label = rng.normal(size=(first[-1], len(line_crf.FEATURES))).astype(np.float32), rng.integers(0, 2, 30)
     x[:, 0] += np.repeat(label, n) * 2
-    model = line_crf.fit(x, first, label)
+    model = line_crf.fit(x, first, np.repeat(label, n))
     good = model.marginals(x, first)
     assert ((good > 0.5) == np.repeat(label, n)).mean() > 0.8
 
@@ -172,6 +172,29 @@ def test_quality_on_held_out_documents(judged):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.good}
 
 
+def test_a_switch_inside_a_document_is_seen(spark, judged):
+    docs, labels = judged
+    model = line_crf.train(docs, labels)
+    assert model.trans[0, 0] + model.trans[1, 1] > model.trans[0, 1] + model.trans[1, 0]  # lines go on as they are, mostly
+    good, bad = ["The river was green and the house walked slowly and the river was green."] * 5, ["BUY NOW!!! $$$ >>>"] * 5
+    got = line_crf.quality(frame(spark, [(1, "\n".join(good + bad), "en"), (2, "\n".join(bad + good), "en")]), labels.limit(0)).collect()
+    assert len(got) == 2
+    for text, want in ((good + bad, [1] * 5 + [0] * 5), (bad + good, [0] * 5 + [1] * 5)):
+        [(_, _, offs, data)] = list(K.blocks(pa.array(["\n".join(text)])))
+        x, _, first = line_crf.line_features(offs, data)
+        assert (model.marginals(x, first) > 0.5).astype(int).tolist() == want
+
+
+def test_repeated_ids_take_one_place_in_the_sample(spark, monkeypatch):
+    rows = [(i % 2, ("BUY NOW!!! $$$\n" if i % 2 else "The river was green.\n") * 3 + f"{i}", "en") for i in range(400)]
+    seen = []
+    real = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda x, first, label, l2: seen.append(len(x)) or real(x, first, label, l2))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    line_crf.train(frame(spark, rows), labels, sample_docs=2)
+    assert seen == [4 + 4 + 4]  # two documents of four lines and their splice
+
+
 def test_quality_without_labels(judged):
     docs, labels = judged
     got = line_crf.quality(docs, labels.limit(0)).collect()
@@ -189,26 +212,71 @@ def tongues():
     return lambda lang, n: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
+class Rule:
+    """The rule written word by word over strings."""
+
+    def __init__(self, counts):
+        self.languages = sorted(counts)
+        self.words = self.logs(counts)
+        self.grams = {n: self.logs({lang: sum((Counter({g: k * c for g, c in Counter(self.of(w, n)).items()}) for w, k in own.items()), Counter()) for lang, own in counts.items()}) for n in (5, 4, 3, 2, 1)}
+
+    @staticmethod
+    def of(word, n):
+        framed = f"^{word}$" if n > 1 else word
+        return [framed[i : i + n] for i in range(len(framed) - n + 1)]
+
+    def logs(self, counts):
+        keys = sorted(set().union(*counts.values()))
+        total = {lang: sum(own.values()) for lang, own in counts.items()}
+        most = max(total.values())
+        return {k: np.array([np.log(counts[lang][k] / total[lang] if counts[lang][k] else 0.5 / most) for lang in self.languages]) for k in keys}
+
+    def word(self, w):
+        if w in self.words:
+            return self.words[w]
+        for n in (5, 4, 3, 2, 1):
+            found = [self.grams[n][g] for g in self.of(w, n) if g in self.grams[n]]
+            if found:
+                return np.mean(found, 0)
+        return np.zeros(len(self.languages))
+
+
+def fitted(counts):
+    languages = sorted(counts)
+    rows = [(w, k, n) for k, lang in enumerate(languages) for w, n in counts[lang].items()]
+    return language_id.fit([w for w, _, _ in rows], np.array([k for _, k, _ in rows]), np.array([n for _, _, n in rows], float), languages)
+
+
 def test_scores_are_those_of_the_rule_word_by_word(tongues):
     counts = {lang: Counter(tongues(lang, 400).split()) for lang in ("aa", "bb", "cc")}
-    model = language_id.model_from_counts(counts, vocabulary=60, grams=90)
-    texts = [tongues(lang, 30) + " zzz 123 ☃ x" for lang in ("aa", "bb", "cc")] * 5 + ["", "…", "q", "ÉÀÔ kala"]
+    counts["dd"] = Counter({"rare": 1})  # a language of one word keeps it
+    model, rule = fitted(counts), Rule(counts)
+    texts = [tongues(lang, 30) + " zzz 123 ☃ x rare rarely" for lang in ("aa", "bb", "cc")] * 5 + ["", "…", "q", "ÉÀÔ kala"]
     scorer, words = language_id.Scorer(model), re.compile(language_id.WORD)
     for i, _, offs, data in K.blocks(K.lower(pa.array(texts)), 300):
         sums, known, n = scorer.block(offs, data)
         for d in range(len(offs) - 1):
             w = words.findall(texts[i + d].lower())
             assert n[d] == len(w)
-            assert np.allclose(sums[d], sum((model.word(x) for x in w), np.zeros(3)))
-            assert known[d] == sum(model.word(x).any() for x in w)
+            assert np.allclose(sums[d], sum((rule.word(x) for x in w), np.zeros(4)))
+            assert known[d] == sum(rule.word(x).any() for x in w)
 
 
 def test_backoff_takes_the_longest_known_length():
-    model = language_id.model_from_counts({"aa": Counter({"abcdef": 3}), "bb": Counter({"xyz": 2})})
-    index, table = model.grams[5]
-    assert np.allclose(model.word("abcdeq"), table[[index["^abcd"], index["abcde"]]].mean(0))
-    one, rows = model.grams[1]
-    assert np.allclose(model.word("qqaqq"), rows[one["a"]]) and not model.word("qqq").any()
+    counts = {"aa": Counter({"abcdef": 3}), "bb": Counter({"xyz": 2})}
+    scorer, rule = language_id.Scorer(fitted(counts)), Rule(counts)
+    for w, n, parts in (("abcdeq", 5, ["^abcd", "abcde"]), ("qqaqq", 1, ["a"]), ("qqq", 1, [])):
+        [(_, _, offs, data)] = list(K.blocks(pa.array([w])))
+        sums, known, _ = scorer.block(offs, data)
+        assert np.allclose(sums[0], np.mean([rule.grams[n][p] for p in parts], 0) if parts else 0) and known[0] == bool(parts)
+
+
+def test_a_small_language_and_the_end_of_long_texts_are_learnt(spark):
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(3000)), "big") for i in range(10)] + [(50, "zuzu kiki", "small")]
+    got = {r.doc_id: r.language for r in language_id.languages(frame(spark, [*rows, (90, "kiki zuzu kiki", None), (91, word("abcdefgh"), None)]), sample_chars=500).collect()}
+    assert got[90] == "small" and got[91] == "big"
 
 
 def test_languages_on_held_out_rows(spark, tongues):
