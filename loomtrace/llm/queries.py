@@ -102,10 +102,10 @@ ORACLES = {
         WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w WHERE len(w) >= 50),
         h AS (SELECT DISTINCT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM p),
-        r AS (SELECT doc_id, p, least_doc FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n, min(doc_id) OVER (PARTITION BY h) AS least_doc FROM h) WHERE n > 1),
-        e AS (SELECT *, CASE WHEN p - 1 <= lag(p + 49) OVER (PARTITION BY doc_id ORDER BY p) THEN 0 ELSE 1 END AS fresh FROM r),
+        r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+        e AS (SELECT *, CASE WHEN p - 1 <= lag(p + 49) OVER (PARTITION BY doc_id ORDER BY p) THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, p FROM r)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM e)
-        SELECT doc_id, CAST(min(p) - 1 AS INTEGER) AS start, CAST(max(p) + 49 AS INTEGER) AS "end", CAST(max(p) - min(p) + 50 AS INTEGER) AS words, min(least_doc) AS least_doc FROM s GROUP BY doc_id, span""",
+        SELECT doc_id, CAST(min(p) - 1 AS INTEGER) AS start, CAST(max(p) + 49 AS INTEGER) AS "end", CAST(max(p) - min(p) + 50 AS INTEGER) AS words FROM s GROUP BY doc_id, span""",
     "op6_warc_derivatives": _warc_sql(),
     "op7_chat_trees": """
         WITH RECURSIVE m AS (

@@ -3,271 +3,322 @@
 The result is every place where ``length`` consecutive words also occur somewhere else: in another
 document or at another place of the same one.
 
-Suffixes.  A passage of ``length`` words holds, among its first ``window`` positions, a position
-whose ``gram``-word hash is the least of the ``window`` (a minimiser), and equal passages have
-it at the same place.  So only suffixes at minimisers are indexed, about ``2 / (window + 1)`` of all.
-They are ordered by their first ``length - window + 1`` words, as one hash, which two equal
-passages share from their minimiser on; then by document and position.
-
-Index family.  Documents arrive in batches.  A batch's suffixes are sorted into a suffix array and
-merge-scanned against every level of the family: equal neighbours across the two are matches, of new
-suffixes and of old ones.  Levels of equal size merge into the next level, as carries in a
-binary counter do, so ``b`` batches rewrite each suffix at most ``log2(b)`` times.  Levels are Parquet
-tables in the shared checkpoint folder, sorted within their partitions.
-
-Verification.  Matched suffixes return to their documents.  There every window of ``length`` words
-that has the matched minimiser is hashed, and windows are held against those of all suffixes with
-the same head; only windows that occur twice are kept, so a match of heads that is no match of
-``length`` words leaves nothing.  Windows that touch become one span.
+Suffix arrays.  Every word position that has ``length`` words before its text ends is a suffix.  Suffixes are
+ordered by a fingerprint of their first ``length`` words (64 bits, told further apart by 16 more), not
+alphabetically: suffixes that share ``length`` words are neighbours in either order, and this one spreads
+evenly over buckets, where one common opening would fill a range of its own.
+
+Index family.  Documents arrive in batches.  A batch's texts become sorted runs where they lie; the runs of one
+bucket merge into the batch's suffix array.  It is merge-scanned, bucket by bucket, against
+every level of the family: equal neighbours are matches, of new suffixes and of old ones.  Levels of
+equal size merge into the next one, as carries in a binary counter do, so ``b`` batches rewrite each suffix at
+most ``log2(b)`` times.  Levels are Parquet tables clustered by bucket in the family's folder, so scans and merges
+move nothing; only a batch's runs are shuffled.  A family can be opened again by its folder.
+
+Hot passages.  In a run and in a level, suffixes that share ``length`` words are one entry with its least place, and their
+places are put out where the repeat is first seen, so a passage that a third of all documents hold
+is one entry of each run.
 
 Defined results
   * words are runs of letters and digits (any byte outside ASCII counts as a letter), lower-cased.
-  * null or empty text, texts shorter than ``length`` words, null doc_id: no span.
+  * null or empty text, texts shorter than ``length`` words, null doc_id or one that is no whole number: no span.
   * repeated rows count once.  Further texts of an id are held against all other texts under that id;
     a place is a (doc_id, word position), so one position of two texts of an id is one place.
   * a passage that repeats within one document is a repeat, also where the two places overlap.
-  * ties: ``least_doc`` is the least id that has any window of the span, the document itself included.
-  * empty table: empty result.  Extra columns are not read.
+  * there are no ties: every place of a repeat is put out, none is preferred.
+  * equal 80-bit fingerprints are taken as equal words: among 10**13 suffixes (about 100 TB) some forty
+    false matches are to be expected.
+  * empty table: empty result.  Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import checkpoint_ready, keyed
+from .common import children, keyed, remove, shared_folder
 
 Batches = Iterator[pa.RecordBatch]
-SUFFIX = "head bigint, doc_id bigint, pos int"
-
-
-def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each full window of ``width``, by doubling."""
-    have, out = 1, v
-    while have < width:
-        step = min(have, width - have)
-        if step >= len(out):
-            return out[:0]
-        out = np.minimum(out[:-step], out[step:])
-        have += step
-    return out
-
-
-class Block:
-    """Word hashes of a run of texts, with their anchors.
-
-    Positions are numbered through the block: text ``t`` has ``edge[t]`` to ``edge[t + 1]``, one for each
-    place where a head fits.
+#: ``kind`` 0: a piece of a suffix array (``body``); 1: places of one document that repeat (``spots``).
+ROWS = "kind int, bucket int, doc_id bigint, spots array<int>, body binary"
+RUN = 1 << 20
+_NAMES = ["kind", "bucket", "doc_id", "spots", "body"]
+
+
+class Entries:
+    """Suffixes in order: fingerprint, check, least place (document, position) and whether it is known to repeat."""
+
+    def __init__(self, f: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray, twice: np.ndarray) -> None:
+        self.columns = (f, check, doc, pos, twice)
+        self.f, self.check, self.doc, self.pos, self.twice = self.columns
+
+    def __len__(self) -> int:
+        return len(self.f)
+
+    def take(self, at: np.ndarray | slice) -> Entries:
+        return Entries(*(c[at] for c in self.columns))
+
+    @classmethod
+    def joined(cls, parts: list[Entries]) -> Entries:
+        return cls(*(np.concatenate(c) for c in zip(*(p.columns for p in parts))))
+
+    def pack(self) -> bytes:
+        """Differences of fingerprints and, of places, document numbers among the sorted ids; all as planes of bytes."""
+        ids, own = np.unique(self.doc, return_inverse=True)
+        planes = lambda v: np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes()
+        step = np.diff(self.f, prepend=np.uint64(0))
+        head = np.array([len(self.f), len(ids)], np.int64).tobytes()
+        parts = [step, self.check, np.diff(ids, prepend=0).view(np.uint64), own.astype(np.uint32), self.pos.astype(np.uint32), self.twice.astype(np.uint8)]
+        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(planes, parts)))
+
+    @classmethod
+    def unpack(cls, body: bytes) -> Entries:
+        raw = zstandard.ZstdDecompressor().decompress(body)
+        n, n_ids = np.frombuffer(raw, np.int64, 2).tolist()
+        at, got = 16, []
+        for kind, count in ((np.uint64, n), (np.uint16, n), (np.uint64, n_ids), (np.uint32, n), (np.uint32, n), (np.uint8, n)):
+            size = np.dtype(kind).itemsize
+            got.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * count, at).reshape(size, count).T).view(kind).reshape(-1))
+            at += size * count
+        step, check, gap, own, pos, twice = got
+        return cls(np.cumsum(step, dtype=np.uint64), check, np.cumsum(gap, dtype=np.uint64).view(np.int64)[own], pos.astype(np.int32), twice.astype(bool))
+
+
+def collapse(e: Entries) -> tuple[Entries, np.ndarray]:
+    """One entry for each fingerprint, in order; and which of the given entries repeat.
+
+    Entries repeat where their fingerprint has two different places or is already known to repeat.  Sorted runs laid
+    one after another are merged, not sorted anew: the stable sort finds its runs.
     """
-
-    def __init__(self, cutter: Cutter, offs: np.ndarray, data: np.ndarray) -> None:
-        starts, ends, first = K.words(offs, data)
-        h = K.span_hashes(data, starts, ends)
-        self.cutter = cutter
-        self.power, self.inverse = K.powers(K.Q, len(h) + 1)
-        self.total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * self.power[: len(h)], out=self.total[1:])
-        per = np.maximum(np.diff(first) - cutter.head + 1, 0)
-        self.edge = np.concatenate([[0], np.cumsum(per)])
-        self.word = np.arange(self.edge[-1]) + np.repeat(first[:-1] - self.edge[:-1], per)
-        order = self.hashes(self.word, cutter.gram) | np.uint64(1)
-        low = sliding_min(order, cutter.window)
-        inside = np.ones(len(low), bool)
-        text = np.repeat(np.arange(len(per)), per)[: len(low)]
-        inside &= np.arange(len(low)) + cutter.window <= self.edge[1:][text]
-        #: Starts of windows inside one text, and the least value of each.
-        self.windows = np.flatnonzero(inside)
-        low = np.where(inside, low, np.uint64(0))
-        # a position is an anchor where the greatest least value of the windows around it is its own
-        gap = np.zeros(cutter.window - 1, np.uint64)
-        top = ~sliding_min(~np.concatenate([gap, low, gap]), cutter.window)
-        self.anchors = np.flatnonzero(top == order) if len(low) else np.zeros(0, np.int64)
-        self.order, self.low = order, low
-
-    def hashes(self, word: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of ``n`` words from each word on."""
-        return K.mix((self.total[word + n] - self.total[word]) * self.inverse[word] + np.uint64(n))
-
-    def first_anchor(self) -> np.ndarray:
-        """The first least position of each of ``windows``; it never decreases."""
-        out = np.full(len(self.windows), -1, np.int64)
-        todo = np.arange(len(self.windows))
-        k = np.searchsorted(self.anchors, self.windows)
-        while len(todo):  # anchors inside a window are few
-            at = self.anchors[k]
-            done = self.order[at] == self.low[self.windows[todo]]
-            out[todo[done]] = at[done]
-            todo, k = todo[~done], k[~done] + 1
-        return out
-
-
-class Cutter:
-    """Lengths, in words, of passages, minimiser windows, minimiser grams and heads."""
-
-    def __init__(self, length: int, window: int, gram: int) -> None:
-        if window < 1 or not 1 <= gram <= length - window + 1:
-            raise ValueError("need window >= 1 and 1 <= gram <= length - window + 1")
-        self.length, self.window, self.gram, self.head = length, window, gram, length - window + 1
-
-    def suffixes(self, batches: Batches) -> Batches:
-        """(head, doc_id, pos) of every anchor."""
+    by = np.argsort(e.f, kind="stable")
+    f = e.f[by]
+    tie = np.flatnonzero(f[1:] == f[:-1])
+    if len(tie):  # only groups of equal fingerprints need a further order
+        member = np.zeros(len(f), bool)
+        member[tie] = member[tie + 1] = True
+        at = np.flatnonzero(member)
+        some = by[at]
+        by[at] = some[np.lexsort((e.pos[some], e.doc[some], e.check[some], e.f[some]))]
+    s = e.take(by)
+    new = np.ones(len(s), bool)
+    new[1:] = (s.f[1:] != s.f[:-1]) | (s.check[1:] != s.check[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return s, np.zeros(0, bool)
+    moved = np.zeros(len(s), bool)
+    moved[1:] = ~new[1:] & ((s.doc[1:] != s.doc[:-1]) | (s.pos[1:] != s.pos[:-1]))
+    twice = np.logical_or.reduceat(s.twice | moved, first)
+    repeats = np.empty(len(s), bool)
+    repeats[by] = twice[np.cumsum(new) - 1]
+    one = s.take(first)
+    return Entries(one.f, one.check, one.doc, one.pos, twice), repeats
+
+
+def _places(doc: np.ndarray, pos: np.ndarray, bucket: int) -> pa.RecordBatch:
+    by = np.lexsort((pos, doc))
+    doc, pos = doc[by], pos[by]
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
+    n = len(edge) - 1
+    spots = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(pos.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc[edge[:-1]]), spots, pa.nulls(n, pa.binary())], _NAMES)
+
+
+def _array(bucket: int, e: Entries) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([e.pack()], pa.binary())], _NAMES)
+
+
+def _runs(length: int, bits: int):
+    """Sorted runs of about ``RUN`` suffixes, cut by bucket; places that repeat within a run are put out at once."""
+
+    def suffixes(batches: Batches) -> Iterator[Entries]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, offs, data in K.blocks(K.lower(batch.column(1))):
-                b = Block(self, offs, data)
-                text = np.searchsorted(b.edge, b.anchors, "right") - 1
-                cols = [b.hashes(b.word[b.anchors], self.head).view(np.int64), ids[i:j][text].astype(np.int64), (b.anchors - b.edge[text]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["head", "doc_id", "pos"])
-
-    def matched_windows(self, batches: Batches) -> Batches:
-        """(head, doc_id, start, hashes): hashes of all windows that each wanted anchor has, from word ``start`` on.
-
-        Columns in: doc_id, text, list of wanted positions.
-        """
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, offs, data in K.blocks(K.lower(batch.column(1))):
-                b = Block(self, offs, data)
-                wanted = batch.column(2).slice(i, j - i)
-                n_wanted = np.diff(wanted.offsets.to_numpy())
-                text = np.repeat(np.arange(j - i), n_wanted)
-                pos = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                fits = pos < np.diff(b.edge)[text]  # an id may have several texts
-                spot = np.unique(b.edge[text[fits]] + pos[fits])
-                anchor = b.first_anchor()
-                lo, hi = np.searchsorted(anchor, spot, "left"), np.searchsorted(anchor, spot, "right")
-                some = lo < hi
-                spot, lo, n = spot[some], lo[some], (hi - lo)[some]
-                at = np.concatenate([[0], np.cumsum(n)])
-                flat = np.arange(at[-1]) + np.repeat(lo - at[:-1], n)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(b.hashes(b.word[b.windows[flat]], self.length).view(np.int64)))
-                text = np.searchsorted(b.edge, spot, "right") - 1
-                start = (b.windows[lo] - b.edge[text]).astype(np.int32) if len(lo) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(b.hashes(b.word[spot], self.head).view(np.int64)), pa.array(ids[i:j][text].astype(np.int64)), pa.array(start), lists], ["head", "doc_id", "start", "hashes"])
-
-    def verify(self, batches: Batches) -> Batches:
-        """(doc_id, start, end, least_doc) of runs of windows that occur at two places, from rows sorted by head."""
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            now = now if rest is None else pa.concat_tables([rest, now])
-            heads = now.column(0).to_numpy()
-            done = int(np.searchsorted(heads, heads[-1], "left"))
-            rest = now.slice(done)
-            if done:
-                yield self._runs(now.slice(0, done))
-        if rest is not None:
-            yield self._runs(rest)
-
-    def _runs(self, rows: pa.Table) -> pa.RecordBatch:
-        lists = rows.column(3).combine_chunks()
-        n = np.diff(lists.offsets.to_numpy())
-        h = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        doc = rows.column(1).to_numpy()[row]
-        start = rows.column(2).to_numpy()[row] + (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))
-        by = np.lexsort((start, doc, h))
-        sh, sd, ss = h[by], doc[by], start[by]
-        new = np.ones(len(sh), bool)
-        new[1:] = sh[1:] != sh[:-1]
-        other = new.copy()
-        other[1:] |= (sd[1:] != sd[:-1]) | (ss[1:] != ss[:-1])
-        group = np.cumsum(new) - 1
-        places = np.bincount(group, other)
-        twice, least = np.empty(len(h), bool), np.empty(len(h), np.int64)
-        twice[by], least[by] = places[group] > 1, sd[np.flatnonzero(new)][group]
-        good = np.flatnonzero(twice)
-        if not len(good):
-            cols = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-        else:
-            head = np.ones(len(good), bool)
-            head[1:] = (np.diff(good) > 1) | (row[good][1:] != row[good][:-1])
-            a = np.flatnonzero(head)
-            z = np.concatenate([a[1:], [len(good)]]) - 1
-            cols = [doc[good[a]], start[good[a]].astype(np.int32), (start[good[z]] + self.length).astype(np.int32), np.minimum.reduceat(least[good], a)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "start", "end", "least_doc"])
+                starts, ends, first = K.words(offs, data)
+                h = K.span_hashes(data, starts, ends)
+                f, _, edge = K.gram_hashes(h, first, length)
+                check, _, _ = K.gram_hashes(K.mix(h ^ K.R), first, length)
+                text = np.repeat(np.arange(j - i), np.diff(edge))
+                yield Entries(f, (check >> np.uint64(48)).astype(np.uint16), ids[i:j][text], (np.arange(len(f)) - edge[text]).astype(np.int32), np.zeros(len(f), bool))
+
+    def close(held: list[Entries]) -> Batches:
+        every = Entries.joined(held)
+        one, repeats = collapse(every)
+        yield _places(every.doc[repeats], every.pos[repeats], 0)
+        at = np.searchsorted(one.f >> np.uint64(64 - bits) if bits else np.zeros(len(one), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            yield _array(b, one.take(slice(at[b], at[b + 1])))
+
+    def run(batches: Batches) -> Batches:
+        held: list[Entries] = []
+        for e in suffixes(batches):
+            held.append(e)
+            if sum(map(len, held)) >= RUN:
+                yield from close(held)
+                held = []
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _side(table: pa.Table) -> tuple[list[Entries], pa.Table]:
+    """(suffix array pieces, rows of places) of one bucket's rows."""
+    kind = table.column("kind").to_numpy()
+    return [Entries.unpack(b.as_py()) for b in table.filter(pa.array(kind == 0)).column("body")], table.filter(pa.array(kind == 1))
+
+
+def _merged(bucket: int, parts: list[Entries], keep: bool, passed: list[pa.Table]) -> pa.Table:
+    """Rows of the merge of a bucket: its places that repeat now and, to keep, its array.  An old entry that was known to repeat is not put out again."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("spots", pa.list_(pa.int32())), ("body", pa.binary())])
+    batches: list[pa.RecordBatch] = []
+    if parts:
+        every = Entries.joined(parts)
+        one, repeats = collapse(every)
+        fresh = repeats & ~every.twice
+        batches.append(_places(every.doc[fresh], every.pos[fresh], bucket))
+        if keep:
+            batches.append(_array(bucket, one))
+    made = [pa.Table.from_batches([b.cast(schema)]) for b in batches]
+    return pa.concat_tables([*made, *(p.cast(schema) for p in passed)]) if made or passed else schema.empty_table()
+
+
+def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
+    parts, places = _side(table)
+    return _merged(key[0].as_py(), parts, True, [places])
+
+
+def _merge_levels(keep: bool):
+    def run(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
+        return _merged(key[0].as_py(), _side(new)[0] + _side(old)[0], keep, [])
+
+    return run
 
 
 class Family:
-    """Suffix arrays of the batches so far, as a binary counter of levels.
+    """Suffix arrays of the batches so far, as a binary counter of levels below ``folder``.
 
-    Each level is one Parquet table below ``folder``; ``levels`` maps its exponent to its path.
+    ``levels`` maps a level's exponent to its folder's name.  What a family was made with is read back from its folder;
+    a batch that was interrupted leaves the family as it was before.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, cutter: Cutter) -> None:
-        self.spark, self.folder, self.cutter = spark, folder, cutter
+    def __init__(self, spark: SparkSession, folder: str, length: int = 50, bits: int = 6) -> None:
+        if length < 1 or not 0 <= bits <= 24:
+            raise ValueError("need length >= 1 and 0 <= bits <= 24")
+        self.spark, self.folder, self.length, self.bits = spark, folder, length, bits
         self.levels: dict[int, str] = {}
         self.count = 0
-
-    def _read(self, path: str, schema: str = SUFFIX) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
+        states = [c for c in children(spark, folder) if c.startswith("state-") and "_SUCCESS" in children(spark, f"{folder}/{c}")]
+        if states:
+            s = json.loads(spark.read.text(f"{folder}/{max(states)}").first()[0])
+            self.length, self.bits, self.count, self.levels = s["length"], s["bits"], s["count"], {int(k): v for k, v in s["levels"].items()}
+
+    def _save(self) -> None:
+        state = json.dumps({"length": self.length, "bits": self.bits, "count": self.count, "levels": self.levels})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state-{self.count:09d}")
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        """A table clustered by bucket, arrays and places in folders of their own."""
+        at = f"loomtrace_{uuid.uuid4().hex}"
+        rows.write.format("parquet").mode("overwrite").partitionBy("kind").bucketBy(1 << self.bits, "bucket").option("path", f"{self.folder}/{name}").saveAsTable(at)
+        self.spark.sql(f"DROP TABLE {at}")  # the files stay: the table is external
+        return name
+
+    def _open(self, name: str) -> tuple[str, DataFrame]:
+        """(a table's passing name, its arrays as a clustered scan)."""
+        at = f"loomtrace_{uuid.uuid4().hex}"
+        kind0 = f"{self.folder}/{name}/kind=0"
+        self.spark.sql(f"CREATE TABLE {at} (bucket INT, doc_id BIGINT, spots ARRAY<INT>, body BINARY) USING parquet CLUSTERED BY (bucket) INTO {1 << self.bits} BUCKETS LOCATION '{kind0}'")
+        return at, self.spark.table(at).select(F.lit(0).alias("kind"), "bucket", "doc_id", "spots", "body")
+
+    def _places(self, name: str) -> list[DataFrame]:
+        has = "kind=1" in children(self.spark, f"{self.folder}/{name}")
+        return [self.spark.read.schema("doc_id bigint, spots array<int>").parquet(f"{self.folder}/{name}/kind=1")] if has else []
+
+    def _meet(self, new: str, old: str, keep: bool, name: str) -> str:
+        a, x = self._open(new)
+        b, y = self._open(old)
+        met = x.groupBy("bucket").cogroup(y.groupBy("bucket")).applyInArrow(_merge_levels(keep), ROWS)
+        made = self._write(met, name)
+        for t in (a, b):
+            self.spark.sql(f"DROP TABLE {t}")
+        return made
 
     def add(self, texts: DataFrame) -> list[DataFrame]:
-        """Index one batch of ``(doc_id, text)``; returns tables of ``(doc_id, pos)``, the matched suffixes that it brings about."""
-        return self.add_suffixes(texts.mapInArrow(self.cutter.suffixes, SUFFIX))
-
-    def add_suffixes(self, batch: DataFrame) -> list[DataFrame]:
-        """The batch is sorted together with the levels that its carry merges: equal neighbours are the
-        matches, and the sorted rows are the new level.  Levels that stay are merge-scanned against the batch.
-        """
+        """Index one batch of ``(doc_id, text)``; returns tables of ``(doc_id, spots)``, the places whose repeat it brings to light."""
         self.count += 1
-        carry = 0
-        while carry in self.levels:
+        levels = dict(self.levels)
+        runs = texts.mapInArrow(_runs(self.length, self.bits), ROWS)
+        now = self._write(runs.repartition(1 << self.bits, "bucket").groupBy("bucket").applyInArrow(_merge_runs, ROWS), f"batch-{self.count:09d}")
+        if "kind=0" not in children(self.spark, f"{self.folder}/{now}"):
+            return []  # no text is long enough
+        made, carry, stale = [now], 0, []
+        while carry in levels:
+            stale += [now, old := levels.pop(carry)]
+            now = self._meet(now, old, True, f"level-{carry + 1:02d}-{self.count:09d}")
+            made.append(now)
             carry += 1
-        merged = [self.levels.pop(k) for k in range(carry)]
-        same = Window.partitionBy("head")
-        found: list[DataFrame] = []
-        for k, path in self.levels.items():
-            sides = batch.withColumn("old", F.lit(0)).unionByName(self._read(path).withColumn("old", F.lit(1)))
-            met = sides.withColumn("a", F.min("old").over(same)).withColumn("z", F.max("old").over(same)).filter("a <> z")
-            out = f"{self.folder}/scan-{self.count}-{k}"
-            met.select("doc_id", "pos").write.parquet(out)
-            found.append(self._read(out, "doc_id bigint, pos int"))
-        parts = batch
-        for path in merged:
-            parts = parts.unionByName(self._read(path))
-        self.levels[carry] = out = f"{self.folder}/level-{carry}-{self.count}"
-        elsewhere = (F.min("doc_id").over(same) != F.max("doc_id").over(same)) | (F.min("pos").over(same) != F.max("pos").over(same))
-        parts.select("head", "doc_id", "pos", elsewhere.alias("hit")).write.parquet(out)
-        found.append(self._read(out, SUFFIX + ", hit boolean").filter("hit").select("doc_id", "pos"))
-        return found
-
-
-def repeated_spans(docs: DataFrame, length: int = 50, window: int = 34, gram: int = 6, batches: int = 4) -> DataFrame:
-    """``(doc_id, start, end, words, least_doc)``: spans of words, ``end`` exclusive, made of windows of ``length`` words that occur at two places or more.
-
-    ``batches`` hashed parts of the table are added one after another; their number is fixed, so each suffix
-    is rewritten ``log2(batches)`` times at every size.
+        for k, old in levels.items():
+            made.append(self._meet(now, old, False, f"scan-{k:02d}-{self.count:09d}"))
+        levels[carry] = now
+        self.levels = levels
+        self._save()
+        for name in stale:  # what was merged is no longer read
+            remove(self.spark, f"{self.folder}/{name}/kind=0")
+        return [p for name in made for p in self._places(name)]
+
+    def drop(self) -> None:
+        """Delete the levels' arrays; places stay readable."""
+        for name in self.levels.values():
+            remove(self.spark, f"{self.folder}/{name}/kind=0")
+
+
+def _spans(length: int) -> F.Column:
+    """A column function ``lists of positions -> array<struct<start, end>>``."""
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def join(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for column in columns:
+            out = []
+            for lists in column:
+                p = np.unique(np.concatenate([np.asarray(x.values) for x in lists]))
+                cut = np.flatnonzero(np.diff(p) > length)
+                out.append([{"start": a, "end": z + length} for a, z in zip(p[np.concatenate([[0], cut + 1])].tolist(), p[np.concatenate([cut, [len(p) - 1]])].tolist())])
+            yield pa.array(out, kind)
+
+    return join
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, batches: int = 4, bits: int | None = None) -> DataFrame:
+    """``(doc_id, start, end, words)``: spans of words, ``end`` exclusive, made of windows of ``length`` words that occur at two places or more.
+
+    Windows that touch or overlap are one span.  ``batches`` hashed parts of the table are added one after another; their number is
+    fixed, so each suffix is rewritten ``log2(batches)`` times at every size.  There are ``2 ** bits`` buckets, by default
+    as many as a shuffle has partitions; a bucket's entries are merged in one task's memory.
     """
     if batches < 1:
         raise ValueError("batches must be positive")
-    spark, cutter = docs.sparkSession, Cutter(length, window, gram)
-    checkpoint_ready(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/suffixes-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    if bits is None:
+        bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    family = Family(spark, shared_folder(spark, "suffixes"), length, bits)
     texts = keyed(docs, "doc_id", "text").filter(F.col("text").isNotNull())
-    suffixes = texts.mapInArrow(cutter.suffixes, SUFFIX)
-    suffixes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(f"{folder}/new")
-    new = spark.read.schema(SUFFIX + ", batch int").parquet(f"{folder}/new")
-    family, found = Family(spark, folder, cutter), []
-    for k in range(batches):
-        found += family.add_suffixes(new.filter(F.col("batch") == k).drop("batch"))
-    matched = found[0]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    found = [p for k in range(batches) for p in family.add(texts.filter(part == k))]
+    family.drop()
+    if not found:
+        return spark.createDataFrame([], "doc_id bigint, start int, end int, words int")
+    every = found[0]
     for one in found[1:]:
-        matched = matched.unionByName(one)
-    wanted = matched.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("spots"))
-    back = texts.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spots")
-    heads = back.mapInArrow(cutter.matched_windows, "head bigint, doc_id bigint, start int, hashes array<bigint>")
-    runs = heads.repartition("head").sortWithinPartitions("head").mapInArrow(cutter.verify, "doc_id bigint, start int, end int, least_doc bigint")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = runs.withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("span", F.sum("fresh").over(order))
-    told = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("least_doc").alias("least_doc"))
-    return told.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("words"), "least_doc")
+        every = every.unionByName(one)
+    spans = every.groupBy("doc_id").agg(F.collect_list("spots").alias("lists")).select("doc_id", F.explode(_spans(length)("lists")).alias("s"))
+    return spans.select("doc_id", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).alias("words"))

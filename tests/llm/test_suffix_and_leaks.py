@@ -1,5 +1,6 @@
 """Repeated passages and benchmark leaks against brute force."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -9,7 +10,6 @@ import numpy as np
 import pytest
 
 from loomtrace.llm import decontaminate, suffix_dedup
-from loomtrace.llm.common import checkpoint_ready
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 EXTRA = "doc_id bigint, text string, head string, pos string, hit string, th int, shingle int, id int, start int"
@@ -50,47 +50,64 @@ def brute_spans(rows, length):
         w = WORD.findall(t.lower())
         for p in range(len(w) - length + 1):
             places[tuple(w[p : p + length])].add((i, p))
-    cover = defaultdict(dict)
+    cover = defaultdict(set)
     for ps in places.values():
         if len(ps) > 1:
             for i, p in ps:
-                cover[i][p] = min(cover[i].get(p, 1 << 60), min(d for d, _ in ps))
+                cover[i].add(p)
     out = set()
     for i, at in cover.items():
         spans = []
         for p in sorted(at):
             if spans and p <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], p + length, min(spans[-1][2], at[p]))
+                spans[-1] = (spans[-1][0], p + length)
             else:
-                spans.append((p, p + length, at[p]))
-        out |= {(i, a, z, least) for a, z, least in spans}
+                spans.append((p, p + length))
+        out |= {(i, a, z, z - a) for a, z in spans}
     return out
 
 
-@pytest.mark.parametrize("length,window,gram,batches", [(50, 34, 6, 4), (50, 34, 6, 1), (50, 20, 4, 5), (20, 12, 3, 3), (8, 1, 2, 2)])
-def test_repeated_spans(spark, rows, length, window, gram, batches):
-    got = [(r.doc_id, r.start, r.end, r.least_doc) for r in suffix_dedup.repeated_spans(frame(spark, rows), length, window, gram, batches).collect()]
+@pytest.mark.parametrize("length,batches,bits,run", [(50, 4, 2, 1 << 20), (50, 1, 0, 1 << 20), (50, 5, 3, 900), (20, 3, 1, 5000), (8, 2, 2, 300)])
+def test_repeated_spans(spark, rows, length, batches, bits, run, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
+    got = [tuple(r) for r in suffix_dedup.repeated_spans(frame(spark, rows), length, batches, bits).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_spans(rows, length)
 
 
-def test_family_levels_are_a_binary_counter(spark, rows, tmp_path):
-    checkpoint_ready(spark)
-    family = suffix_dedup.Family(spark, str(tmp_path), suffix_dedup.Cutter(20, 12, 3))
-    clean = frame(spark, [r for r in rows if r[0] is not None and r[1]]).select("doc_id", "text")
-    seen = set()
-    for k in range(5):
-        for found in family.add(clean.filter(f"doc_id % 5 = {k}")):
-            seen |= {r.doc_id for r in found.collect()}
+def test_a_family_is_a_binary_counter_and_opens_again(spark, rows, tmp_path):
+    clean = [r for r in rows if r[0] is not None and r[1]]
+    df = frame(spark, clean).select("doc_id", "text")
+    seen = defaultdict(set)
+    for k in range(7):
+        family = suffix_dedup.Family(spark, str(tmp_path / "family"), *([20, 2] if not k else []))  # opened anew for each batch
+        assert (family.length, family.bits, family.count) == (20, 2, k)
+        for found in family.add(df.filter(f"doc_id % 7 = {k}")):
+            for r in found.collect():
+                seen[r.doc_id] |= set(r.spots)
         assert set(family.levels) == {b for b in range(4) if (k + 1) >> b & 1}
-    assert seen >= {i for i, *_ in brute_spans([r for r in rows if r[1]], 20)}
-
-
-def test_sliding_min():
-    v = np.random.default_rng(1).integers(0, 50, 40)
-    for width in (1, 2, 3, 7, 8, 40, 41):
-        want = [v[i : i + width].min() for i in range(len(v) - width + 1)]
-        assert suffix_dedup.sliding_min(v, width).tolist() == want
+        # all repeats among the batches so far are out, at both of their places, and no others
+        want = {(i, p) for i, a, z, _ in brute_spans([r for r in clean if r[0] % 7 <= k], 20) for p in range(a, z)}
+        assert {(i, q) for i, ps in seen.items() for p in ps for q in range(p, p + 20)} == want
+    levels = {n for n in os.listdir(tmp_path / "family") if os.path.isdir(tmp_path / "family" / n / "kind=0")}
+    assert set(family.levels.values()) <= levels and len([n for n in levels if not n.startswith("scan")]) == 3  # merged ones are gone
+
+
+def test_entries_come_back_as_packed_in_order():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        f = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        e = suffix_dedup.Entries(f, rng.integers(0, 2**16, n).astype(np.uint16), rng.integers(-(2**62), 2**62, n), rng.integers(0, 2**31, n).astype(np.int32), rng.integers(0, 2, n).astype(bool))
+        back = suffix_dedup.Entries.unpack(e.pack())
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(e.columns, back.columns))
+
+
+def test_equal_fingerprints_are_told_apart():
+    u = lambda *v: np.array(v, np.uint64)
+    e = suffix_dedup.Entries(u(5, 5, 5, 7, 9, 9), np.array([1, 2, 1, 0, 4, 4], np.uint16), np.array([3, 3, 1, 1, 2, 2]), np.array([0, 0, 4, 5, 6, 6], np.int32), np.zeros(6, bool))
+    one, repeats = suffix_dedup.collapse(e)
+    assert repeats.tolist() == [True, False, True, False, False, False]  # the last two are one place
+    assert list(zip(one.f.tolist(), one.check.tolist(), one.doc.tolist(), one.twice.tolist())) == [(5, 1, 1, True), (5, 2, 3, False), (7, 0, 1, False), (9, 4, 2, False)]
 
 
 def test_no_documents(spark):
