@@ -43,6 +43,8 @@ def trace_statement(rows: pd.DataFrame) -> pd.DataFrame:
     def walk(target: str, scope: str, column: str, rank: int, role: str, hops: int, way: frozenset, seen: set) -> None:
         at = (scope, column.lower())
         if at in way:
+            if scope.startswith("cte:"):  # a recursive block: its other branches say where its values come from
+                return
             emit(target, "unresolved", "cycle_detected", f"{scope}.{column}", rank, role, hops)
             return
         if (at, rank, role) in seen:

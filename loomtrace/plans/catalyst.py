@@ -2,7 +2,8 @@
 
 ``parse`` asks the session's Catalyst parser for one statement and reads the whole tree with one
 ``toJSON`` call, since a walk over the JVM objects costs a round trip a node.  What that JSON leaves
-out (partition specifications, ``SET`` pairs, names that hold a comma) is fetched from the JVM by itself.
+out (partition specifications, ``SET`` pairs, folders) is fetched from the JVM by itself.  That JSON parts names by commas, so
+commas inside quoted names travel as another character.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 
+#: Stands for a comma inside a quoted name.
+_COMMA = "\ue000"
+#: Nodes that only mark how a query was written.
+_MARKS = {"PipeExpression", "PipeOperator"}
+
+
 @dataclass
 class Node:
     """One plan or expression node: short class name, plain fields, children."""
@@ -69,14 +76,14 @@ def _value(raw: Any) -> Any:
         return [_value(x) for x in raw]
     if isinstance(raw, dict):
         return {k: _value(v) for k, v in raw.items()}
-    return raw
+    return raw.replace(_COMMA, ",") if isinstance(raw, str) and raw[:1] != "[" else raw
 
 
 def _build(it: Iterator[dict], raw: dict | None = None) -> Node:
     raw = next(it) if raw is None else raw
     node = Node(raw["class"].rpartition(".")[2], {k: _value(v) for k, v in raw.items() if k not in ("class", "num-children")})
     node.children = [_build(it) for _ in range(raw["num-children"])]
-    return node
+    return node.children[0] if node.kind in _MARKS else node
 
 
 def names(text: str | list | None) -> list[str]:
@@ -85,7 +92,7 @@ def names(text: str | list | None) -> list[str]:
         return []
     if isinstance(text, list):
         return [str(x) for x in text]
-    return [x for x in text[1:-1].split(", ")] if text[:1] == "[" else [text]
+    return [x.replace(_COMMA, ",") for x in (text[1:-1].split(", ") if text[:1] == "[" else [text])]
 
 
 def object_name(value: Any) -> str:
@@ -101,6 +108,8 @@ class Parsed:
     partition: dict[str, str | None]
     setting: tuple[str, str] | None
     view_names: list[str]
+    folder: str = ""
+    format: str | None = None
 
 
 class ScriptError(ValueError):
@@ -113,15 +122,17 @@ def _option(o: Any) -> Any:
 
 def parse(spark: SparkSession, sql: str) -> Parsed:
     """Parse one statement.  Variable substitution plays no part here: ``${x}`` in a string stays as written."""
+    sql = "".join(x.replace(",", _COMMA) if x[:1] == "`" else x for x in _PIECE.findall(sql)) if "`" in sql else sql
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         text = str(getattr(e, "desc", None) or e)
-        raise ScriptError(text.split("== SQL")[0].strip()[:500]) from e
+        raise ScriptError(text.split("== SQL")[0].strip()[:500].replace(_COMMA, ",")) from e
     tree = _build(iter(json.loads(plan.toJSON())))
     partition: dict[str, str | None] = {}
     setting = None
     columns: list[str] = []
+    folder, form = "", None
     kind = tree.kind
     if kind == "InsertIntoStatement":
         it = plan.partitionSpec().iterator()
@@ -141,7 +152,25 @@ def parse(spark: SparkSession, sql: str) -> Parsed:
         it = plan.userSpecifiedColumns().iterator()
         while it.hasNext():
             columns.append(it.next()._1())
-    return Parsed(tree, partition, setting, columns)
+    elif kind == "InsertIntoDir":
+        where, form = _option(plan.storage().locationUri()), _option(plan.provider())
+        folder = where.getPath() if where is not None else ""
+    elif kind in ("CreateTableAsSelect", "ReplaceTableAsSelect"):
+        parts = plan.partitioning()
+        partition = {parts.apply(i).describe().strip("`").replace(_COMMA, ","): None for i in range(parts.size())}
+    elif kind == "OverwriteByExpression":
+        # REPLACE WHERE: equalities with literals name the part that is replaced
+        partition = {}
+        todo = [tree.fields["deleteExpr"]]
+        while todo:
+            e = todo.pop()
+            if e.kind == "And":
+                todo += e.children[::-1]
+            elif e.kind == "EqualTo" and e.children[0].kind == "UnresolvedAttribute" and e.children[1].kind == "Literal":
+                partition[names(e.children[0].fields["nameParts"])[-1]] = str(e.children[1].fields["value"])
+            else:
+                partition["*"] = "condition"
+    return Parsed(tree, partition, setting, columns, folder, form)
 
 
 _PIECE = re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|'')*(?:'|\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\Z)|`(?:[^`]|``)*(?:`|\Z)|;|[^;'\"`/-]+|.", re.S)
