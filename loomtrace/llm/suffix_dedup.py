@@ -4,7 +4,7 @@ The result is every place where ``length`` consecutive words also occur somewher
 document or at another place of the same one.
 
 Suffix arrays.  Every word position that has ``length`` words before its text ends is a suffix.  Suffixes are
-ordered by a fingerprint of their first ``length`` words (64 bits, told further apart by 16 more), not
+ordered by a fingerprint of their first ``length`` words (56 bits, told further apart by 16 more), not
 alphabetically: suffixes that share ``length`` words are neighbours in either order, and this one spreads
 evenly over buckets, where one common opening would fill a range of its own.
 
@@ -26,8 +26,8 @@ Defined results
     a place is a (doc_id, word position), so one position of two texts of an id is one place.
   * a passage that repeats within one document is a repeat, also where the two places overlap.
   * there are no ties: every place of a repeat is put out, none is preferred.
-  * equal 80-bit fingerprints are taken as equal words: among 10**13 suffixes (about 100 TB) some forty
-    false matches are to be expected.
+  * equal 72-bit fingerprints are taken as equal words: among 10**13 suffixes (about 100 TB) some 10**4 false
+    matches are to be expected, one in 10**9.
   * empty table: empty result.  Extra columns are not read, whatever their names.
 """
 
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ from .common import children, keyed, remove, shared_folder
 
 Batches = Iterator[pa.RecordBatch]
 #: ``kind`` 0: a piece of a suffix array (``body``); 1: places of one document that repeat (``spots``).
-ROWS = "kind int, bucket int, doc_id bigint, spots array<int>, body binary"
-RUN = 1 << 20
-_NAMES = ["kind", "bucket", "doc_id", "spots", "body"]
+ROWS = "kind int, bucket int, part int, doc_id bigint, spots array<int>, body binary"
+RUN = 1 << 19
+#: A bucket's array comes in ``2 ** PART_BITS`` pieces, merged one after another.
+PART_BITS = 3
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("spots", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
 class Entries:
@@ -119,7 +122,8 @@ def collapse(e: Entries) -> tuple[Entries, np.ndarray]:
     repeats = np.empty(len(s), bool)
     repeats[by] = twice[np.cumsum(new) - 1]
     one = s.take(first)
-    return Entries(one.f, one.check, one.doc, one.pos, twice), repeats
+    # a place that is out already is not needed again
+    return Entries(one.f, one.check, np.where(twice, 0, one.doc), np.where(twice, np.int32(0), one.pos), twice), repeats
 
 
 def _places(doc: np.ndarray, pos: np.ndarray, bucket: int) -> pa.RecordBatch:
@@ -128,15 +132,16 @@ def _places(doc: np.ndarray, pos: np.ndarray, bucket: int) -> pa.RecordBatch:
     edge = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
     n = len(edge) - 1
     spots = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc[edge[:-1]]), spots, pa.nulls(n, pa.binary())], _NAMES)
+    whole = [pa.array(np.full(n, v, np.int32)) for v in (1, bucket, 0)]
+    return pa.RecordBatch.from_arrays([*whole, pa.array(doc[edge[:-1]], pa.int64()), spots, pa.nulls(n, pa.binary())], schema=_SCHEMA)
 
 
-def _array(bucket: int, e: Entries) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([e.pack()], pa.binary())], _NAMES)
+def _array(bucket: int, part: int, e: Entries) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (0, bucket, part)], pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([e.pack()], pa.binary())], schema=_SCHEMA)
 
 
 def _runs(length: int, bits: int):
-    """Sorted runs of about ``RUN`` suffixes, cut by bucket; places that repeat within a run are put out at once."""
+    """Sorted runs of about ``RUN`` suffixes, cut by bucket and part; places that repeat within a run are put out at once."""
 
     def suffixes(batches: Batches) -> Iterator[Entries]:
         for batch in batches:
@@ -145,17 +150,18 @@ def _runs(length: int, bits: int):
                 starts, ends, first = K.words(offs, data)
                 h = K.span_hashes(data, starts, ends)
                 f, _, edge = K.gram_hashes(h, first, length)
-                check, _, _ = K.gram_hashes(K.mix(h ^ K.R), first, length)
+                check = (K.gram_hashes(K.mix(h ^ K.R), first, length)[0] >> np.uint64(48)).astype(np.uint16)
                 text = np.repeat(np.arange(j - i), np.diff(edge))
-                yield Entries(f, (check >> np.uint64(48)).astype(np.uint16), ids[i:j][text], (np.arange(len(f)) - edge[text]).astype(np.int32), np.zeros(len(f), bool))
+                yield Entries(f & ~np.uint64(0xFF), check, ids[i:j][text], (np.arange(len(f)) - edge[text]).astype(np.int32), np.zeros(len(f), bool))
 
     def close(held: list[Entries]) -> Batches:
         every = Entries.joined(held)
         one, repeats = collapse(every)
         yield _places(every.doc[repeats], every.pos[repeats], 0)
-        at = np.searchsorted(one.f >> np.uint64(64 - bits) if bits else np.zeros(len(one), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+        fine = bits + PART_BITS
+        at = np.searchsorted(one.f >> np.uint64(64 - fine), np.arange((1 << fine) + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(at)).tolist():
-            yield _array(b, one.take(slice(at[b], at[b + 1])))
+            yield _array(b >> PART_BITS, b % (1 << PART_BITS), one.take(slice(at[b], at[b + 1])))
 
     def run(batches: Batches) -> Batches:
         held: list[Entries] = []
@@ -170,35 +176,34 @@ def _runs(length: int, bits: int):
     return run
 
 
-def _side(table: pa.Table) -> tuple[list[Entries], pa.Table]:
-    """(suffix array pieces, rows of places) of one bucket's rows."""
-    kind = table.column("kind").to_numpy()
-    return [Entries.unpack(b.as_py()) for b in table.filter(pa.array(kind == 0)).column("body")], table.filter(pa.array(kind == 1))
-
-
-def _merged(bucket: int, parts: list[Entries], keep: bool, passed: list[pa.Table]) -> pa.Table:
-    """Rows of the merge of a bucket: its places that repeat now and, to keep, its array.  An old entry that was known to repeat is not put out again."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("spots", pa.list_(pa.int32())), ("body", pa.binary())])
-    batches: list[pa.RecordBatch] = []
-    if parts:
-        every = Entries.joined(parts)
+def _merged(bucket: int, sides: list[pa.Table], keep: bool) -> pa.Table:
+    """Rows of a bucket's merge: its array, if that is to be kept, and the places that repeat now.  An old entry that was known to repeat is not put out again."""
+    bodies: dict[int, list] = {}
+    out, docs, spots = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for table in sides:
+        arrays = table.filter(pc.equal(table.column("kind"), 0))
+        for part, body in zip(arrays.column("part").to_pylist(), arrays.column("body")):
+            bodies.setdefault(part, []).append(body)
+        out.append(table.filter(pc.equal(table.column("kind"), 1)).cast(_SCHEMA))
+    for part in sorted(bodies):
+        every = Entries.joined([Entries.unpack(b.as_buffer()) for b in bodies.pop(part)])
         one, repeats = collapse(every)
         fresh = repeats & ~every.twice
-        batches.append(_places(every.doc[fresh], every.pos[fresh], bucket))
+        docs.append(every.doc[fresh])
+        spots.append(every.pos[fresh])
         if keep:
-            batches.append(_array(bucket, one))
-    made = [pa.Table.from_batches([b.cast(schema)]) for b in batches]
-    return pa.concat_tables([*made, *(p.cast(schema) for p in passed)]) if made or passed else schema.empty_table()
+            out.append(pa.Table.from_batches([_array(bucket, part, one)]))
+    out.append(pa.Table.from_batches([_places(np.concatenate(docs), np.concatenate(spots), bucket)]))
+    return pa.concat_tables(out)
 
 
 def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
-    parts, places = _side(table)
-    return _merged(key[0].as_py(), parts, True, [places])
+    return _merged(key[0].as_py(), [table], True)
 
 
 def _merge_levels(keep: bool):
     def run(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-        return _merged(key[0].as_py(), _side(new)[0] + _side(old)[0], keep, [])
+        return _merged((key[0]).as_py(), [new, old], keep)
 
     return run
 
@@ -236,8 +241,8 @@ class Family:
         """(a table's passing name, its arrays as a clustered scan)."""
         at = f"loomtrace_{uuid.uuid4().hex}"
         kind0 = f"{self.folder}/{name}/kind=0"
-        self.spark.sql(f"CREATE TABLE {at} (bucket INT, doc_id BIGINT, spots ARRAY<INT>, body BINARY) USING parquet CLUSTERED BY (bucket) INTO {1 << self.bits} BUCKETS LOCATION '{kind0}'")
-        return at, self.spark.table(at).select(F.lit(0).alias("kind"), "bucket", "doc_id", "spots", "body")
+        self.spark.sql(f"CREATE TABLE {at} (bucket INT, part INT, doc_id BIGINT, spots ARRAY<INT>, body BINARY) USING parquet CLUSTERED BY (bucket) INTO {1 << self.bits} BUCKETS LOCATION '{kind0}'")
+        return at, self.spark.table(at).select(F.lit(0).alias("kind"), "bucket", "part", "doc_id", "spots", "body")
 
     def _places(self, name: str) -> list[DataFrame]:
         has = "kind=1" in children(self.spark, f"{self.folder}/{name}")
@@ -262,8 +267,9 @@ class Family:
             return []  # no text is long enough
         made, carry, stale = [now], 0, []
         while carry in levels:
-            stale += [now, old := levels.pop(carry)]
-            now = self._meet(now, old, True, f"level-{carry + 1:02d}-{self.count:09d}")
+            stale.append(old := levels.pop(carry))
+            small, now = now, self._meet(now, old, True, f"level-{carry + 1:02d}-{self.count:09d}")
+            remove(self.spark, f"{self.folder}/{small}/kind=0")  # of this batch alone; old levels stay until the new state is written
             made.append(now)
             carry += 1
         for k, old in levels.items():
@@ -273,6 +279,8 @@ class Family:
         self._save()
         for name in stale:  # what was merged is no longer read
             remove(self.spark, f"{self.folder}/{name}/kind=0")
+        del runs
+        self.spark.sparkContext._jvm.System.gc()  # the context's cleaner then frees the batch's shuffle files
         return [p for name in made for p in self._places(name)]
 
     def drop(self) -> None:
