@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.operators.trace import TRACED, edges, end_to_end, scope_order, trace_statement
+from loomtrace.operators.links import physical_join_keys, target_reach
+from loomtrace.operators.trace import end_to_end, scope_order
 from loomtrace.plans.facts import Facts
 
 KEY = ["task", "stmt", "scope"]
@@ -76,8 +77,17 @@ def statistics(facts: Facts) -> DataFrame:
 
 
 def gaps(facts: Facts) -> DataFrame:
-    """``(task, stmt, gap, type, bucket, column, reason, root_impact)`` for every output whose trace is not complete."""
-    open_ = end_to_end(facts).filter("not trace_complete").select("task", "stmt", "column", F.explode("reasons").alias("reason"))
+    """``(task, stmt, gap, type, bucket, sub_bucket, owner_hint, scope, column, reason, root_impact, recovered)`` of what could not be traced.
+
+    Outputs of a write whose trace is not complete have ``root_impact``; so has nothing else: an output of an inner block that
+    is open and reaches no target is a gap without it.  ``recovered`` marks gaps of statements whose syntax was recovered,
+    which may only be its effect.
+    """
+    root = end_to_end(facts).filter("not trace_complete").select("task", "stmt", F.lit("ROOT").alias("scope"), "column", F.explode("reasons").alias("reason"), F.lit(True).alias("root_impact"))
+    named = F.when(F.col("src_scope") == "AMBIGUOUS", "ambiguous_unqualified").when(F.col("src_scope") == "UNKNOWN", "unknown_source").when((F.col("src_column") == "*") & (F.col("transform") == "EXPAND_ALL"), "star_not_expanded")
+    local = facts.column_sources.filter("scope not like 'ROOT%'").select(*KEY, "column", named.alias("reason")).filter("reason is not null").distinct()
+    inner = local.join(target_reach(facts).select(*KEY, "column").distinct(), [*KEY, "column"], "left_anti").withColumn("root_impact", F.lit(False))
+    open_ = root.unionByName(inner)
     reason = F.col("reason")
     kind = (
         F.when(reason == "star_not_expanded", "projection_wildcard_unexpanded").when(reason == "missing_scope_column", "scope_output_mapping_missing")
@@ -87,8 +97,12 @@ def gaps(facts: Facts) -> DataFrame:
         F.when(reason == "star_not_expanded", "wildcard_projection").when(reason == "missing_scope_column", "upstream_output_mapping").when(reason == "ambiguous_unqualified", "bare_unqualified_field")
         .when(reason == "unknown_source", "alias_binding").otherwise("other_expression_unresolved")
     )
-    number = F.row_number().over(Window.partitionBy("task").orderBy("stmt", "column", "reason"))
-    return open_.select("task", "stmt", F.format_string("lineage_gap:%04d", number).alias("gap"), kind.alias("type"), bucket.alias("bucket"), "column", "reason", F.lit(True).alias("root_impact"))
+    joined = facts.joins.select(*KEY).distinct().withColumn("joins", F.lit(True))
+    sub = F.when(reason == "ambiguous_unqualified", F.when(F.col("joins"), "join_without_metadata").otherwise("single_input")).when(reason == "star_not_expanded", "metadata_missing").when(reason == "cycle_detected", "recursion").otherwise("name_not_found")
+    owner = F.when(reason.isin("star_not_expanded", "ambiguous_unqualified"), "metadata").when(reason.isin("unknown_source", "missing_scope_column"), "sql").otherwise("parser")
+    number = F.row_number().over(Window.partitionBy("task").orderBy("stmt", F.desc("root_impact"), "scope", "column", "reason"))
+    recovered = facts.statements.select("task", "stmt", (F.col("syntax_status") == "recovered").alias("recovered"))
+    return open_.join(joined, KEY, "left").join(recovered, ["task", "stmt"]).select("task", "stmt", F.format_string("lineage_gap:%04d", number).alias("gap"), kind.alias("type"), bucket.alias("bucket"), sub.alias("sub_bucket"), owner.alias("owner_hint"), "scope", "column", "reason", "root_impact", "recovered")
 
 
 def cross_references(facts: Facts) -> DataFrame:
@@ -152,20 +166,10 @@ def relations(facts: Facts) -> DataFrame:
     gives all their pairs, one that comes back to the same field on both sides, or to none, gives no pair.  A join
     without keys stays with ``NO_KEY`` where its first inputs are tables; equalities in WHERE are predicates, not keys.
     """
-    number = F.row_number().over(Window.partitionBy("task", "stmt").orderBy("scope", "ord", "left_alias", "left_column", "right_alias", "right_column"))
-    keys = facts.join_keys.withColumn("k", number)
-    sides = {}
-    for s in ("left", "right"):
-        side = keys.select(*KEY, "k", F.col(f"{s}_alias").alias("alias"), F.col(f"{s}_column").alias("src_column")).join(facts.inputs.select(*KEY, "alias", F.col("source").alias("src_scope")), [*KEY, "alias"])
-        sides[s] = side.select("task", "stmt", F.lit("ROOT").alias("scope"), F.format_string(f"?{s}:%d", "k").alias("column"), F.lit("DIRECT").alias("transform"), "src_scope", "src_column", F.lit("value").alias("role"))
-    asked = edges(facts).unionByName(sides["left"]).unionByName(sides["right"])
-    traced = asked.groupBy("task", "stmt").applyInPandas(trace_statement, TRACED).filter("column like '?%' and source_kind = 'physical' and role = 'value'")
-    fields = lambda s: traced.filter(F.col("column").startswith(f"?{s}:")).select("task", "stmt", F.substring_index("column", ":", -1).cast("int").alias("k"), F.col("source").alias(f"{s}_table"), F.col("source_column").alias(f"{s}_field"))
-    pairs = keys.select(*KEY, "ord", "k").join(fields("left"), ["task", "stmt", "k"]).join(fields("right"), ["task", "stmt", "k"])
-    pairs = pairs.filter("not (left_table = right_table and lower(left_field) = lower(right_field))").join(facts.joins.select(*KEY, "ord", "join_type"), [*KEY, "ord"])
+    pairs = physical_join_keys(facts).filter("origin <> 'where_filter' and not (left_table = right_table and lower(left_field) = lower(right_field))").join(facts.joins.select(*KEY, "ord", "join_type"), [*KEY, "ord"])
     one = pairs.groupBy(*KEY, "ord", "left_table", "join_type", "right_table").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "left_field", "right_field"))), ",").alias("keys"))
     first = lambda s: facts.inputs.filter("source_type = 'table'").select(*KEY, F.col("alias").alias(f"{s}_alias"), F.col("source").alias(f"{s}_table"))
-    bare = facts.joins.join(facts.join_keys, [*KEY, "ord"], "left_anti").select(*KEY, "ord", "join_type", *[F.substring_index(f"{s}_inputs", ",", 1).alias(f"{s}_alias") for s in ("left", "right")])
+    bare = facts.joins.join(facts.join_keys.filter("origin <> 'where_filter'"), [*KEY, "ord"], "left_anti").select(*KEY, "ord", "join_type", *[F.substring_index(f"{s}_inputs", ",", 1).alias(f"{s}_alias") for s in ("left", "right")])
     bare = bare.join(first("left"), [*KEY, "left_alias"]).join(first("right"), [*KEY, "right_alias"]).select(*KEY, "ord", "left_table", "join_type", "right_table", F.lit(NO_KEY).alias("keys"))
     return one.unionByName(bare).groupBy("left_table", "join_type", "right_table", "keys").agg(F.count("*").alias("n"))
 
@@ -177,7 +181,7 @@ def quality_gate(facts: Facts, level: str = "balanced", target_columns: DataFram
     st = facts.statements
     bad = st.filter("model_status in ('unsupported', 'failed')").select("task", F.lit("statement_not_modeled").alias("failure"))
     if level == "strict":
-        bad = bad.union(gaps(facts).select("task", F.lit("root_gap"))).union(st.filter("syntax_status = 'recovered'").select("task", F.lit("recovered_syntax")))
+        bad = bad.union(gaps(facts).filter("root_impact").select("task", F.lit("root_gap"))).union(st.filter("syntax_status = 'recovered'").select("task", F.lit("recovered_syntax")))
         if target_columns is not None:
             bad = bad.union(target_binding(facts, target_columns).filter("status = 'fallback'").select("task", F.lit("binding_fallback")))
     if level == "permissive":

@@ -429,7 +429,7 @@ EXPECTED: dict[str, str] = {
         ('upkeep', 'stmt:006', 'ROOT', 0, 'x', 'id', 'y', 'id')
     ) v("task", "stmt", "scope", "ord", "left_alias", "left_column", "right_alias", "right_column")""",
     "q_j9_relations": r"""SELECT CAST("left_table" AS VARCHAR) AS "left_table", CAST("join_type" AS VARCHAR) AS "join_type", CAST("right_table" AS VARCHAR) AS "right_table", CAST("keys" AS VARCHAR) AS "keys", CAST("n" AS BIGINT) AS "n" FROM (VALUES
-        ('cte:priced', 'INNER', 'orders', 'l_orderkey=o_orderkey', 1),
+        ('lineitem', 'INNER', 'orders', 'l_orderkey=o_orderkey', 1),
         ('customer', 'LEFT_OUTER', 'counted', 'c_custkey=k', 1),
         ('orders', 'INNER', 'customer', 'o_custkey=c_custkey', 1),
         ('somewhere', 'INNER', 'elsewhere', 'id=id', 1)

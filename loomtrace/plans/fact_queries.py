@@ -2,7 +2,8 @@
 
 Base facts (statements, scopes, inputs, columns, sources) are held against rows that were recorded and then
 reviewed against the scripts.  Traces, levels, states, reads and closures are held against SQL that works them out
-again from those base facts.
+again from those base facts.  Rows in ``HAND`` were written from the scripts' text, and the output names of the query pack
+are those that another engine gives the same statements.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.operators import audit, publish, states, trace
-from loomtrace.plans import corpus
+from loomtrace.plans import corpus, query_pack
+from loomtrace.plans.construct_queries import rows_sql
 from loomtrace.plans.corpus_expected import EXPECTED, TABLE_EDGES
-from loomtrace.plans.facts import Facts
+from loomtrace.plans.facts import Facts, analyze
 
 _made: dict[str, Facts] = {}
+#: Tables of the pack's statements that the corpus does not read.
+PACK_SCHEMA = {"embeddings": ["vec_id", "embedding", "label"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"], "pages": ["page_id", "url", "html"]}
 
 
 def _facts(spark: SparkSession) -> Facts:
@@ -39,7 +43,14 @@ def _end_to_end(f: Facts) -> DataFrame:
     return trace.end_to_end(f).select("task", "stmt", "column", "source_kind", "trace_complete", names.alias("physical"), F.array_join("rowsets", ",").alias("rowsets"), F.array_join("generated", ",").alias("generated"), context.alias("window_context"), F.array_join("candidates", ",").alias("candidates"), F.array_join("reasons", ",").alias("reasons"))
 
 
+def _pack_outputs(spark: SparkSession) -> DataFrame:
+    """Output names that the analyzer gives each statement of the query pack, from its text alone."""
+    f = analyze(spark, [(name, spark_sql) for name, (_, spark_sql, _) in query_pack.PACK.items()], corpus.SCHEMA | PACK_SCHEMA)
+    return f.columns.filter("scope = 'ROOT'").select(F.col("task").alias("query"), F.lower("column").alias("column"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, Facts], DataFrame]] = {
+    "q_p2_output_names": lambda s, f: _pack_outputs(s),
     "q_t1_statements": lambda s, f: f.statements.select("task", "stmt", "kind", "target", "category", "model_status", "syntax_status", "partition_mode", "session_scoped", "write_ordinal", "overwrite_mode", "overwrite_mode_source"),
     "q_x1_scope_graph": lambda s, f: f.scope_edges,
     "q_x1_scopes": lambda s, f: f.scopes,
@@ -57,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, Facts], DataFrame]] = {
     "q_x22_coverage": lambda s, f: states.coverage(f, _columns(s)),
     "q_x25_binding": lambda s, f: audit.target_binding(f, _columns(s)),
     "q_x27_gaps": lambda s, f: audit.gaps(f),
-    "q_x30_warnings": lambda s, f: f.warnings,
+    "q_x30_warnings": lambda s, f: f.warnings.withColumn("detail", F.when(F.col("type") == "LINEAGE_ERROR", F.regexp_extract("detail", r"^\[\w+\]", 0)).otherwise(F.col("detail"))),
     "q_x32_statistics": lambda s, f: audit.statistics(f),
     "q_x33_profile": lambda s, f: publish.profile(f),
     "q_x34_states": lambda s, f: states.states(f),
@@ -121,9 +132,35 @@ RECOMPUTED = {
 }
 
 
+#: Rows written by hand from the scripts.
+HAND = {
+    "q_j6_join_keys": rows_sql(
+        "task VARCHAR, stmt VARCHAR, scope VARCHAR, ord INTEGER, left_alias VARCHAR, left_column VARCHAR, right_alias VARCHAR, right_column VARCHAR, origin VARCHAR",
+        ("revenue", "stmt:001", "ROOT", 0, "p", "l_orderkey", "o", "o_orderkey", "on"), ("revenue", "stmt:001", "ROOT", 1, "o", "o_custkey", "c", "c_custkey", "on"),
+        ("daily", "stmt:005", "ROOT", 0, "c", "c_custkey", "t", "k", "on"), ("upkeep", "stmt:006", "ROOT", 0, "x", "id", "y", "id", "on"),
+    ),
+    "q_j9_relations": rows_sql(
+        "left_table VARCHAR, join_type VARCHAR, right_table VARCHAR, keys VARCHAR, n BIGINT",
+        ("lineitem", "INNER", "orders", "l_orderkey=o_orderkey", 1), ("orders", "INNER", "customer", "o_custkey=c_custkey", 1), ("customer", "LEFT_OUTER", "counted", "c_custkey=k", 1), ("somewhere", "INNER", "elsewhere", "id=id", 1),
+    ),
+    "q_x27_gaps": rows_sql(
+        "task VARCHAR, stmt VARCHAR, gap VARCHAR, type VARCHAR, bucket VARCHAR, sub_bucket VARCHAR, owner_hint VARCHAR, scope VARCHAR, column VARCHAR, reason VARCHAR, root_impact BOOLEAN, recovered BOOLEAN",
+        ("upkeep", "stmt:006", "lineage_gap:0001", "expression_source_unresolved", "bare_unqualified_field", "join_without_metadata", "metadata", "ROOT", "name", "ambiguous_unqualified", True, False),
+        ("upkeep", "stmt:007", "lineage_gap:0002", "projection_wildcard_unexpanded", "wildcard_projection", "metadata_missing", "metadata", "ROOT", "*", "star_not_expanded", True, False),
+    ),
+    "q_x30_warnings": rows_sql(
+        "task VARCHAR, stmt VARCHAR, scope VARCHAR, type VARCHAR, detail VARCHAR",
+        ("upkeep", "stmt:001", "ROOT", "merge_delete_ignored", "matched:0"), ("upkeep", "stmt:006", "ROOT", "ambiguous_unqualified", "name"), ("upkeep", "stmt:007", "ROOT", "star_not_expanded", "somewhere"),
+        ("upkeep", "stmt:008", "ROOT", "unsupported_statement", "DropTable"), ("upkeep", "stmt:009", "ROOT", "LINEAGE_ERROR", "[PARSE_SYNTAX_ERROR]"),
+    ),
+}
+#: What another engine names the outputs of the pack's statements.
+PACK_NAMES = " UNION ALL ".join(f"SELECT '{name}' AS query, lower(column_name) AS \"column\" FROM (DESCRIBE {duck or own})" for name, (_, own, duck) in query_pack.PACK.items())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, q=q: q(spark, _facts(spark))) for k, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return EXPECTED | RECOMPUTED
+    return EXPECTED | RECOMPUTED | HAND | {"q_p2_output_names": PACK_NAMES}
