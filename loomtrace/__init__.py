@@ -7,13 +7,14 @@ from importlib import import_module
 
 _PUBLIC = {
     "operators.audit": "cross_references field_usage gaps impact_of logic_blocks quality_gate raw_quality relations source_coverage statistics target_binding upstream_of",
-    "operators.publish": "InvalidFacts mapping_markdown profile statement_documents task_documents violations warnings_markdown write",
-    "operators.states": "conditions coverage final_states fold_sessions reads state_values states",
+    "operators.links": "aggregation_detail alias_bindings block_targets branch_sources chains expression_bindings first_writes physical_inputs physical_join_keys predicate_dependencies scope_outputs target_reach union_alignment window_detail window_filters",
+    "operators.publish": "InvalidFacts diagnostics_documents mapping_markdown profile statement_documents task_documents violations warnings_markdown write",
+    "operators.states": "blocking_reasons conditions coverage final_states fold_sessions reads state_values states",
     "operators.trace": "chain_text closure end_to_end mapping_steps scope_order sources table_edges",
     "plans.catalyst": "ScriptError parse split_script",
     "plans.facts": "Facts analyze qualified_fields",
-    "sources.metadata": "MetadataFileError as_schema ddl_columns from_catalog latest merge read_csv read_json related target_columns",
-    "sources.scripts": "EmptySource collisions readable sql_files task_dependencies tasks",
+    "sources.metadata": "MetadataFileError as_schema ddl_columns from_catalog latest merge problems read_csv read_json read_targets related target_columns",
+    "sources.scripts": "EmptySource collisions mirrored readable sql_files task_dependencies tasks",
 }
 _HOME = {name: module for module, names in _PUBLIC.items() for name in names.split()}
 # names that are modules of their own or mean too much alone are left to their modules

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.operators import audit, publish
+from loomtrace.operators import audit, links, publish
 from loomtrace.plans.facts import Facts, analyze
 from loomtrace.session import SETTINGS
 from loomtrace.sources import metadata, scripts
@@ -23,6 +24,10 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     given.add_argument("--input-dir", help="a folder of task exports")
     p.add_argument("--schema", action="append", default=[], help="column metadata: CSV, TSV, JSON or a folder of JSON; the first that has a table counts")
     p.add_argument("--out", help="folder for fact tables and documents", required=True)
+    p.add_argument("--target-metadata", action="append", default=[], help="target exports (JSON file or folder): the newest of each table counts")
+    p.add_argument("--sanitize-nul", action="store_true", help="remove NUL bytes from CSV metadata instead of failing; the files are told in metadata_problems")
+    p.add_argument("--pretty", action="store_true", help="documents with line breaks instead of compact ones")
+    p.add_argument("--first-write-only", action="store_true", help="report, as warnings, the writes of each script after its first")
     p.add_argument("--markdown", action="store_true", help="write mapping and warning documents as well")
     p.add_argument("--quality", choices=["permissive", "balanced", "strict"], default="permissive")
     p.add_argument("--fail-on-unsupported", action="store_true")
@@ -40,11 +45,25 @@ def _markdown(facts: Facts, folder: str) -> None:
     publish.warnings_markdown(facts).write.mode("overwrite").parquet(f"{folder}/warnings")
 
 
-def _schema(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    if not paths:
-        return {}
-    read = [metadata.read_csv(spark, p) if p.lower().endswith((".csv", ".tsv", ".txt")) else metadata.read_json(spark, p) for p in paths]
-    return metadata.as_schema(metadata.merge(read)[0])
+def _metadata(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """Merged column metadata; conflicts and unreadable files are written beside the facts."""
+    read = [metadata.read_csv(spark, p, "remove" if a.sanitize_nul else "error") if p.lower().endswith((".csv", ".tsv", ".txt")) else metadata.read_json(spark, p) for p in a.schema]
+    told = [metadata.problems(spark, a.schema).select("file", "problem")] if a.schema else []
+    for p in a.target_metadata:
+        columns, bad = metadata.read_targets(spark, p)
+        read.append(columns.drop("is_partition"))
+        told.append(bad)
+    if not read:
+        return None
+    columns, conflicts = metadata.merge(read)
+    conflicts.write.mode("overwrite").json(f"{a.out}/metadata_conflicts")
+    for bad in told[1:]:
+        told[0] = told[0].union(bad)
+    told[0].write.mode("overwrite").json(f"{a.out}/metadata_problems")
+    n = conflicts.count()
+    if n:
+        print(f"loomtrace: {n} tables have metadata that differs between sources; see metadata_conflicts", file=sys.stderr)
+    return columns
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -56,16 +75,25 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         source = scripts.sql_files(spark, a.sql_file) if a.sql_file else scripts.readable(spark, a.task_file or a.input_dir)
+        if not a.sql_file or not a.sql_file.lower().endswith(".sql"):
+            root = a.sql_file or a.input_dir
+            if root and not scripts.collisions(source).isEmpty():  # equal names in several folders
+                source = scripts.mirrored(source, os.path.abspath(root))
         twice = scripts.collisions(source).first()
         if twice:
             raise scripts.EmptySource(f"task {twice.task} comes from several files: {', '.join(twice.files)}")
         # scripts are parsed where the session lives; they arrive one at a time
-        schema = _schema(spark, a.schema)
+        known = _metadata(spark, a)
+        schema = metadata.as_schema(known) if known is not None else {}
         facts = analyze(spark, ((r.task, r.sql) for r in source.orderBy("task").toLocalIterator()), schema)
     except (scripts.EmptySource, metadata.MetadataFileError) as e:
         print(f"loomtrace: {e}", file=sys.stderr)
         return 2
-    publish.write(facts, a.out)
+    publish.write(facts, a.out, known, not a.pretty)
+    if "upstream" in source.columns:
+        scripts.task_dependencies(source).write.mode("overwrite").parquet(f"{a.out}/task_dependencies")
+    if a.first_write_only:
+        links.first_writes(facts)[1].write.mode("overwrite").parquet(f"{a.out}/dropped_writes")
     if a.markdown:
         _markdown(facts, a.out)
     columns = spark.createDataFrame([(t, i, c) for t, cs in schema.items() for i, c in enumerate(cs)], "relation string, ordinal int, column string")

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; a temporary folder only where ``spark.checkpoint.dir`` is unset."""
+    """Materialise ``df`` in the shared checkpoint folder.
+
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder stands in on a local master alone; on a cluster it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
     return df.checkpoint(eager=True)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.operators.audit import cross_references, gaps, relations, statistics
+from loomtrace.operators.links import chains
 from loomtrace.operators.states import states
 from loomtrace.operators.trace import end_to_end, mapping_steps, scope_order
 from loomtrace.plans.facts import Facts
@@ -32,48 +33,96 @@ def _list(df: DataFrame, name: str, *cols: str) -> DataFrame:
     return df.groupBy("task", "stmt").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
 
 
-def statement_documents(facts: Facts) -> DataFrame:
-    """``(task, stmt, document)``: one JSON document for each write statement."""
+def _text(body: Column, compact: bool) -> Column:
+    return F.to_json(body, {"pretty": str(not compact).lower()})
+
+
+def _bodies(facts: Facts, columns: DataFrame | None = None) -> DataFrame:
+    """``(task, stmt, body)``: the struct behind each write statement's document; ``columns``: metadata of the fields that it reads."""
     w = facts.statements.filter("category in ('projection_write', 'conditional_write')")
+    kinds = lambda df, name: df.groupBy("task", "stmt", "type").count().groupBy("task", "stmt").agg(F.sort_array(F.collect_list(F.struct("type", "count"))).alias(name))
     parts = [
         _list(facts.scopes, "scopes", "scope", "kind", "role", "is_distinct", "set_op"), _list(facts.scope_edges, "scope_edges", "upstream", "downstream"),
         _list(facts.columns, "columns", "scope", "ord", "column", "transform", "expression", "expanded_type", "role", "grain_effect"),
         _list(facts.column_sources, "column_sources", "scope", "column", "ord", "src_scope", "src_column", "role"),
         _list(facts.joins, "joins", "scope", "ord", "join_type", "condition", "status"), _list(facts.predicates, "filters", "scope", "ord", "kind", "expression"),
         _list(end_to_end(facts), "end_to_end", "column", "source_kind", "trace_complete", "physical", "rowsets", "generated", "reasons"),
+        _list(chains(facts), "chains", "chain", "step_no", "target", "scope", "column", "expression", "expanded"),
         _list(facts.warnings, "warnings", "scope", "type", "detail"), _list(gaps(facts), "gaps", "gap", "type", "bucket", "column"),
+        kinds(facts.warnings.unionByName(gaps(facts).select("task", "stmt", "scope", "type", F.col("column").alias("detail"))), "diagnostics"),
     ]
+    body = ["scopes", "scope_edges", "columns", "column_sources", "joins", "filters", "end_to_end", "chains", "warnings", "gaps", "diagnostics"]
+    if columns is not None:
+        used = facts.column_sources.join(facts.inputs.filter("source_type = 'table'").select("task", "stmt", F.col("source").alias("src_scope")).distinct(), ["task", "stmt", "src_scope"])
+        used = used.select("task", "stmt", F.col("src_scope").alias("relation"), F.lower("src_column").alias("column")).distinct()
+        known = columns.select(F.col("relation").alias("_r"), F.col("column").alias("_c"), "type", "comment")
+        told = used.join(known, (F.lower("relation") == F.col("_r")) & (F.col("column") == F.col("_c")), "left")
+        parts.append(_list(told, "column_details", "relation", "column", "type", "comment"))
+        body.append("column_details")
     for p in parts:
         w = w.join(p, ["task", "stmt"], "left")
     fields = [F.lit(VERSION_1).alias("schema_version"), "task", "stmt", F.col("kind").alias("stmt_kind"), F.col("target").alias("target_table"), "parse_status", "syntax_status", "partition_mode", "partition_spec"]
-    body = ["scopes", "scope_edges", "columns", "column_sources", "joins", "filters", "end_to_end", "warnings", "gaps"]
-    return w.select("task", "stmt", F.to_json(F.struct(*fields, *body)).alias("document"))
+    return w.select("task", "stmt", F.struct(*fields, *body).alias("body"))
+
 
+def statement_documents(facts: Facts, columns: DataFrame | None = None, compact: bool = True) -> DataFrame:
+    """``(task, stmt, document)``: one JSON document for each write statement; equal content with and without white space."""
+    return _bodies(facts, columns).select("task", "stmt", _text(F.col("body"), compact).alias("document"))
 
-def task_documents(facts: Facts) -> DataFrame:
-    """``(task, document)``: one JSON document for each script, with its statements in order and its table states."""
-    every = facts.statements.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("idx", "stmt", "kind", "target", "category", "model_status", "syntax_status"))).alias("statements"))
+
+def task_documents(facts: Facts, columns: DataFrame | None = None, compact: bool = True) -> DataFrame:
+    """``(task, document)``: one JSON document for each script, with its statements in order, each write's own document inside, and its table states."""
+    st = facts.statements.join(_bodies(facts, columns), ["task", "stmt"], "left")
+    every = st.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("idx", "stmt", "kind", "target", "category", "model_status", "syntax_status", F.to_json("body").alias("_body")))).alias("_rows"))
     made = states(facts).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("write_ordinal", "state", "relation", "effect", "previous", "session_scoped", "is_final"))).alias("states"))
-    return every.join(made, "task", "left").select("task", F.to_json(F.struct(F.lit(VERSION_2).alias("schema_version"), "task", "statements", "states")).alias("document"))
+    kind = _bodies(facts, columns).schema["body"].dataType
+    rows = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in ("idx", "stmt", "kind", "target", "category", "model_status", "syntax_status")], F.from_json(r["_body"], kind).alias("document")))
+    return every.join(made, "task", "left").select("task", _text(F.struct(F.lit(VERSION_2).alias("schema_version"), "task", rows.alias("statements"), "states"), compact).alias("document"))
+
+
+def diagnostics_documents(facts: Facts, compact: bool = True) -> DataFrame:
+    """``(task, document)``: all warnings, gaps and counts of a script, in one order whatever the run."""
+    warned = facts.warnings.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("stmt", "scope", "type", "detail"))).alias("warnings"))
+    open_ = gaps(facts).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("gap", "stmt", "scope", "column", "type", "bucket", "sub_bucket", "owner_hint", "reason", "root_impact", "recovered"))).alias("gaps"))
+    counts = statistics(facts)
+    counted = counts.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("stmt", *[c for c in counts.columns if c.startswith("n_") or c == "depth"]))).alias("statistics"))
+    every = facts.statements.select("task").distinct().join(warned, "task", "left").join(open_, "task", "left").join(counted, "task", "left")
+    return every.select("task", _text(F.struct(F.lit(VERSION_1).alias("schema_version"), "task", "warnings", "gaps", "statistics"), compact).alias("document"))
+
+
+#: Closed vocabularies of further fact tables.
+VOCABULARIES = {
+    ("scopes", "kind"): "cte root subquery udtf union union_branch".split(),
+    ("scopes", "role"): "aggregate dedup filter join label pass_through transform union union_branch".split(),
+    ("columns", "transform"): "AGGREGATE CONDITIONAL CONSTANT DIRECT EXPAND_ALL EXPRESSION UNION WINDOW".split(),
+    ("columns", "grain_effect"): "changed preserved unknown".split(),
+    ("column_sources", "role"): "candidate filter order partition value".split(),
+    ("joins", "status"): "complete partial".split(),
+    ("join_keys", "origin"): "on using where_filter".split(),
+    ("inputs", "source_type"): "scope table values".split(),
+}
 
 
 def violations(facts: Facts) -> DataFrame:
-    """Values outside the closed vocabularies and broken references: ``(task, stmt, problem, name)``."""
+    """Values outside the closed vocabularies, broken references, and modelled writes without a block: ``(task, stmt, problem, name)``."""
     out = cross_references(facts)
     for column, allowed in ENUMS.items():
         out = out.union(facts.statements.filter(~F.col(column).isin(allowed)).select("task", "stmt", F.lit(f"unknown_{column}"), column))
-    return out
+    for (table, column), allowed in VOCABULARIES.items():
+        out = out.union(getattr(facts, table).filter(~F.col(column).isin(allowed)).select("task", "stmt", F.lit(f"unknown_{table}_{column}"), column))
+    bare = facts.statements.filter("category in ('projection_write', 'conditional_write')").join(facts.scopes.select("task", "stmt"), ["task", "stmt"], "left_anti")
+    return out.union(bare.select("task", "stmt", F.lit("write_without_blocks"), "target"))
 
 
-def write(facts: Facts, folder: str) -> None:
-    """Check, then write every fact table as Parquet and the documents as JSON lines; invalid facts write nothing."""
+def write(facts: Facts, folder: str, columns: DataFrame | None = None, compact: bool = True) -> None:
+    """Check, then write every fact table as Parquet and the documents as JSON, compact ones one a line; invalid facts write nothing."""
     broken = violations(facts).take(5)
     if broken:
         raise InvalidFacts("; ".join(f"{r.task} {r.stmt}: {r.problem} {r.name}" for r in broken))
     for name, df in facts.tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/facts/{name}")
-    statement_documents(facts).select("document").write.mode("overwrite").text(f"{folder}/lineage")
-    task_documents(facts).select("document").write.mode("overwrite").text(f"{folder}/task_lineage")
+    for name, documents in (("lineage", statement_documents(facts, columns, compact)), ("task_lineage", task_documents(facts, columns, compact)), ("diagnostics", diagnostics_documents(facts, compact))):
+        documents.select("document").write.mode("overwrite").text(f"{folder}/{name}")
 
 
 def _lines(df: DataFrame, section: int, line: Column, *order: str) -> DataFrame:
@@ -118,4 +167,4 @@ def profile(facts: Facts) -> DataFrame:
     return scope_order(facts).join(facts.scopes.select("task", "stmt", "scope", "kind", "role"), ["task", "stmt", "scope"]).join(n, ["task", "stmt", "scope"], "left").na.fill(0)
 
 
-__all__ = ["InvalidFacts", "mapping_markdown", "profile", "relations", "statement_documents", "statistics", "task_documents", "violations", "warnings_markdown", "write"]
+__all__ = ["InvalidFacts", "diagnostics_documents", "mapping_markdown", "profile", "relations", "statement_documents", "statistics", "task_documents", "violations", "warnings_markdown", "write"]

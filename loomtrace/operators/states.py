@@ -135,3 +135,23 @@ def coverage(facts: Facts, known_tables: DataFrame) -> DataFrame:
     local = facts.statements.filter("kind = 'CTAS'").join(facts.scopes.filter("scope like 'ROOT%' and not has_star"), ["task", "stmt"], "left_semi").select("task", F.lower("target").alias("relation"), F.lit("script").alias("s")).distinct()
     given = known_tables.select(F.lower("relation").alias("relation"), F.lit("metadata").alias("m")).distinct()
     return every.join(given, "relation", "left").join(local, ["task", "relation"], "left").select("task", "relation", F.coalesce("m", "s").alias("covered_by"))
+
+
+def blocking_reasons(facts: Facts, columns: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """``(task, rank, reason, relation)``: why a script's lineage may be incomplete, causes before symptoms.
+
+    1 ``metadata_conflict``: sources of metadata contradict each other (``conflicts`` has a column ``relation``; kept whether a
+    script reads it or not, under the task ``*``); 2 ``metadata_missing``: a relation that the script reads, writes or decides
+    rows by has no known columns; 3 ``root_gap``: a target column whose trace is open.
+    """
+    from loomtrace.operators.audit import gaps
+
+    member = conditions(facts).select("task", F.col("source").alias("relation")).distinct()
+    known = coverage(facts, columns).filter("covered_by is null").select("task", "relation")
+    missing = known.union(member.join(columns.select(F.lower("relation").alias("relation")).distinct(), "relation", "left_anti").join(coverage(facts, columns).filter("covered_by is not null"), ["task", "relation"], "left_anti").select("task", "relation")).distinct()
+    out = missing.select("task", F.lit(2).alias("rank"), F.lit("metadata_missing").alias("reason"), "relation")
+    open_ = gaps(facts).filter("root_impact").join(facts.statements.select("task", "stmt", "target"), ["task", "stmt"]).select("task", F.lit(3), F.lit("root_gap"), F.concat_ws(".", "target", "column")).distinct()
+    out = out.union(open_)
+    if conflicts is not None:
+        out = out.union(conflicts.select(F.lit("*"), F.lit(1), F.lit("metadata_conflict"), "relation").distinct())
+    return out

@@ -1,6 +1,7 @@
 """Readers of table metadata: CSV and JSON column lists, merges of several sources, target DDL.
 
-All give one shape, ``(relation, ordinal, column, type, comment, origin)``, with relation and column names in lower case.
+All give one shape, ``(relation, ordinal, column, type, comment, origin)``, with relation and column names in lower case and
+relations under their whole names.  Files that can't be read are left out and told by ``problems``.
 """
 
 from __future__ import annotations
@@ -32,21 +33,46 @@ def relation_key(c: Column) -> Column:
     return F.lower(F.array_join(F.slice(F.split(F.regexp_replace(c, "`", ""), r"\."), F.greatest(F.lit(-2), -F.size(F.split(c, r"\."))), F.lit(2)), "."))
 
 
+def whole_name(c: Column) -> Column:
+    """A table's whole name, unquoted, lower case."""
+    return F.lower(F.regexp_replace(c, "`", ""))
+
+
 def _shaped(df: DataFrame, origin: str) -> DataFrame:
     """Lower-cased names, repeated columns dropped after their first, ordinals from 0."""
-    base = df.select(relation_key(F.col("relation")).alias("relation"), F.lower(F.trim("column")).alias("column"), "type", "comment", "at").filter("relation <> '' and column <> ''")
+    base = df.select(whole_name(F.col("relation")).alias("relation"), F.lower(F.trim("column")).alias("column"), "type", "comment", "at").filter("relation <> '' and column <> ''")
     first = F.row_number().over(Window.partitionBy("relation", "column").orderBy("at"))
     once = base.withColumn("_n", first).filter("_n = 1")
     place = F.row_number().over(Window.partitionBy("relation").orderBy("at")) - 1
     return once.select("relation", place.alias("ordinal"), "column", "type", "comment", F.lit(origin).alias("origin"))
 
 
-def read_csv(spark: SparkSession, path: str, nul: str = "error") -> DataFrame:
+def problems(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, problem, n)`` of metadata files: lines with NUL bytes, empty files, JSON that is none, and JSON without columns in a known shape."""
+    rows = []
+    for path in paths:
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+        text = F.trim("value")
+        nul = F.length("value") - F.length(F.replace("value", F.lit("\x00"), F.lit("")))
+        is_json = F.lower("file").endswith(".json")
+        parsed = F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False))
+        kind = F.when(text == "", "empty_file").when(nul > 0, "nul_bytes").when(is_json & ~parsed, "invalid_json").when(is_json & (_kind() == "bad"), "no_columns")
+        rows.append(raw.select("file", kind.alias("problem"), F.when(nul > 0, nul).otherwise(1).alias("n")).filter("problem is not null"))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.union(r)
+    return every
+
+
+def read_csv(spark: SparkSession, path: str, nul: str = "error", most: int = 1 << 24) -> DataFrame:
     """Column rows with a header, tab- or comma-separated; header names may be any of ``ALIASES``.
 
-    A NUL byte is an error, or is removed with ``nul='remove'``.
+    A NUL byte is an error, or is removed with ``nul='remove'``; ``problems`` counts them.  A line longer than ``most``
+    characters is an error, since a quote that never closes swallows the rest of a file.
     """
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    if not lines.filter(F.length("value") > most).isEmpty():
+        raise MetadataFileError(f"{path} has a line of more than {most} characters")
     if nul == "error" and not lines.filter(F.col("value").contains("\x00")).isEmpty():
         raise MetadataFileError(f"{path} holds NUL bytes")
     lines = lines.withColumn("value", F.regexp_replace("value", "\x00", ""))
@@ -67,6 +93,15 @@ def read_csv(spark: SparkSession, path: str, nul: str = "error") -> DataFrame:
 _DETAIL = "struct<name:string,type:string,comment:string>"
 
 
+_RICH = f"struct<table_name:string,schema:array<{_DETAIL}>>"
+
+
+def _kind() -> Column:
+    """Which shape of column list a JSON text has."""
+    listed = F.from_json("value", f"struct<tables:array<{_RICH}>>")["tables"]
+    return F.when(F.substring(F.trim("value"), 1, 1) == "[", "rows").when(F.from_json("value", _RICH)["table_name"].isNotNull(), "rich").when(F.size(listed) > 0, "tables").when(F.from_json("value", "map<string,string>").isNotNull(), "keyed").otherwise("bad")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Column lists from a JSON file or folder, in any of the shapes
 
@@ -74,13 +109,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     ``{"table_name": .., "schema": [..]}`` and a list of rows with table and column names.
     """
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_path").alias("file"))
-    rich = f"struct<table_name:string,schema:array<{_DETAIL}>>"
-    one = F.from_json("value", rich)
-    listed = F.from_json("value", f"struct<tables:array<{rich}>>")["tables"]
+    one = F.from_json("value", _RICH)
+    listed = F.from_json("value", f"struct<tables:array<{_RICH}>>")["tables"]
     rows = F.from_json("value", "array<struct<table_name:string,table:string,column_name:string,column:string,data_type:string,type:string,comment:string>>")
     keyed = F.from_json("value", "map<string,string>")
-    kind = F.when(F.substring(F.trim("value"), 1, 1) == "[", "rows").when(one["table_name"].isNotNull(), "rich").when(F.size(listed) > 0, "tables").when(keyed.isNotNull(), "keyed").otherwise("bad")
-    marked = raw.withColumn("kind", kind)
+    marked = raw.withColumn("kind", _kind())
     if marked.filter("kind <> 'bad'").isEmpty():
         raise MetadataFileError(f"no readable metadata below {path}")
     wide = marked.filter("kind in ('rich', 'tables')").select("file", F.explode(F.when(F.col("kind") == "rich", F.array(one)).otherwise(listed)).alias("t")).select("file", F.col("t.table_name").alias("relation"), F.posexplode("t.schema").alias("n", "c"))
@@ -99,7 +132,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge(sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """``(columns, conflicts)``: for each relation the first source that has it counts; later ones that differ are conflicts, never merged in."""
+    """``(columns, conflicts)``: for each relation the first source that has it counts.
+
+    Later sources fill in relations that it lacks, and types and comments that its columns lack; lists of columns that differ are
+    conflicts, never merged in.
+    """
     if not sources:
         raise ValueError("no metadata sources")
     every = sources[0].withColumn("rank", F.lit(0))
@@ -107,6 +144,9 @@ def merge(sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         every = every.unionByName(s.withColumn("rank", F.lit(k)))
     best = F.min("rank").over(Window.partitionBy("relation"))
     chosen = every.withColumn("_best", best).filter("rank = _best").drop("rank", "_best")
+    known = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", F.col(c).alias("v"))))["v"].alias(f"_{c}")
+    told = every.groupBy("relation", "column").agg(known("type"), known("comment"))
+    chosen = chosen.join(told, ["relation", "column"]).select("relation", "ordinal", "column", F.coalesce("type", "_type").alias("type"), F.coalesce("comment", "_comment").alias("comment"), "origin")
     lists = every.groupBy("relation", "rank", "origin").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("c")).select("relation", "rank", "origin", F.transform("c", lambda x: x["column"]).alias("columns"))
     base = lists.withColumn("_best", best).filter("rank = _best").select("relation", F.col("columns").alias("kept"))
     conflicts = lists.join(base, "relation").filter(F.col("columns") != F.col("kept")).select("relation", "origin", "kept", F.col("columns").alias("ignored"))
@@ -154,6 +194,38 @@ def target_columns(spark: SparkSession, ddls: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, SHAPE + ", is_partition boolean")
 
 
+_TARGET = "table_name string, full_table_name string, schema array<struct<columnName:string,columnType:string,columnComment:string,columnIndex:int,isPartition:int>>, ddl string, query_time string, ddl_update_time string, data_source string, _corrupt_record string"
+
+
+def read_targets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(columns, problems)`` of target exports, one JSON object a file, in a file or folder.
+
+    The newest export of each table counts (``latest``).  Its DDL is the authority on columns; where there is none, or none that
+    Catalyst reads, its list of columns serves.  A broken file, and a list that differs from its DDL, are problems;
+    a folder without a single readable export is an error.
+    """
+    raw = spark.read.schema(_TARGET).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json", columnNameOfCorruptRecord="_corrupt_record").select("*", F.col("_metadata.file_path").alias("file"))
+    named = raw.withColumn("relation", whole_name(F.coalesce("full_table_name", "table_name")))
+    bad = F.when(F.col("_corrupt_record").isNotNull(), "invalid_json").when(F.col("relation").isNull(), "no_table_name")
+    good = named.filter(bad.isNull())
+    told = [(r.file, r.problem) for r in named.select("file", bad.alias("problem")).filter("problem is not null").collect()]
+    if good.isEmpty():
+        raise MetadataFileError(f"no readable target export below {path}")
+    rows: list[tuple] = []
+    for r in latest(good).toLocalIterator():  # the parser lives with the session; exports arrive one at a time
+        listed = sorted((c for c in r.schema or [] if c.columnName), key=lambda c: c.columnIndex or 0)
+        own = [(c.columnName.lower(), c.columnType, c.columnComment, bool(c.isPartition)) for c in listed]
+        try:
+            by_ddl = ddl_columns(spark, r.ddl) if r.ddl else []
+        except (MetadataFileError, ValueError) as e:
+            by_ddl = []
+            told.append((r.file, f"ddl_not_readable: {str(e)[:100]}"))
+        if by_ddl and own and [c[0] for c in by_ddl] != [c[0] for c in own]:
+            told.append((r.file, "columns_differ_from_ddl"))
+        rows += [(r.relation, i, *c[:3], r.file, c[3]) for i, c in enumerate(by_ddl or own)]
+    return spark.createDataFrame(rows, SHAPE + ", is_partition boolean"), spark.createDataFrame(told, "file string, problem string")
+
+
 def as_schema(columns: DataFrame) -> Schema:
     """Metadata as the reader wants it.  The number of tables is that of a warehouse's catalog, which the driver holds anyway to parse against."""
     rows = columns.groupBy("relation").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column"))).alias("c")).collect()
@@ -163,4 +235,4 @@ def as_schema(columns: DataFrame) -> Schema:
 def related(columns: DataFrame, usage: DataFrame) -> DataFrame:
     """Metadata of the fields that are used: ``usage`` has ``source`` and ``field``."""
     used = usage.select(relation_key(F.col("source")).alias("relation"), F.lower("field").alias("column")).distinct()
-    return columns.join(used, ["relation", "column"], "left_semi")
+    return columns.withColumn("_key", relation_key(F.col("relation"))).join(used.withColumnRenamed("relation", "_key"), ["_key", "column"], "left_semi").drop("_key")

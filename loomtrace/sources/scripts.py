@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def task_dependencies(read: DataFrame) -> DataFrame:
     return side("upstream").union(side("downstream"))
 
 
+def mirrored(read: DataFrame, root: str) -> DataFrame:
+    """Tasks named by their folder below ``root`` as well, so that equal file names in two folders are two tasks."""
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.lit("^/*" + re.escape(root.rstrip("/").lstrip("/")) + "/?"), F.lit(""))
+    folder = F.regexp_replace(below, r"[^/]*$", "")
+    return read.withColumn("task", F.concat(folder, "task"))
+
+
 def collisions(read: DataFrame) -> DataFrame:
     """Output names that more than one file would write: ``(task, files)``."""
     return read.groupBy("task").agg(F.sort_array(F.collect_set("path")).alias("files")).filter(F.size("files") > 1)

@@ -175,8 +175,9 @@ def test_expression_functions(spark):
 def test_csv_metadata(spark, tmp_path):
     one = tmp_path / "a.csv"
     one.write_text("table_name,column_name,data_type,comment\ncat.DB.T,ID,int,\"the, id\"\ndb.t,Name,string,\ndb.t,id,bigint,again\n")
-    got = metadata.read_csv(spark, str(one)).orderBy("ordinal").collect()
-    assert [(r.relation, r.ordinal, r.column, r.type, r.comment) for r in got] == [("db.t", 0, "id", "int", "the, id"), ("db.t", 1, "name", "string", None)]
+    got = metadata.read_csv(spark, str(one)).orderBy("relation", "ordinal").collect()
+    # whole names are kept apart; a lookup tries them before their last two parts
+    assert [(r.relation, r.ordinal, r.column, r.type, r.comment) for r in got] == [("cat.db.t", 0, "id", "int", "the, id"), ("db.t", 0, "name", "string", None), ("db.t", 1, "id", "bigint", "again")]
     tab = tmp_path / "b.tsv"
     tab.write_text("table\tfield\tdescription\ndb.u\tx\tfirst, second\n")
     assert metadata.read_csv(spark, str(tab)).first().comment == "first, second"
