@@ -8,14 +8,15 @@ import pyarrow as pa
 import pytest
 
 from loomtrace.llm import exact_dedup, kernels, minhash_dedup
-from loomtrace.llm.common import components, one_row_per_key
+from loomtrace.llm.common import components, one_row_per_text
 
-DOCS = "doc_id bigint, text string, lang string, hash bigint, body string, rep string, g string, count int"
+CLASH = "hash body rep g count node tag key gone_id gone_tag ids keep_id again_id row component whole m lang"
+DOCS = "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in CLASH.split())
 
 
 def frame(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", 7, "x", "y", "z", 3) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, *CLASH.split()) for i, t in rows], DOCS)
 
 
 def prose(rng, n):
@@ -63,38 +64,82 @@ def test_drop_exact(spark, rows):
     left = exact_dedup.drop_exact_duplicates(frame(spark, rows))
     assert left.columns == frame(spark, rows).columns
     kept = [(r.doc_id, r.text) for r in left.collect()]
-    texts = [t for i, t in kept if t is not None and i is not None]
-    assert len(texts) == len(set(texts)) == len({t for i, t in rows if t is not None and i is not None})
-    assert {i for i, t in kept if t is None} == {302, 303} and any(i is None for i, _ in kept)
+    low = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            low[t] = min(i, low.get(t, i))
+    assert sorted(map(str, kept)) == sorted(map(str, [(i, t) for t, i in low.items()] + [(i, t) for i, t in rows if i is None or t is None]))
+
+
+TWICE = [(1, "a unique text of its own"), (1, "shared text of two"), (2, "shared text of two"), (3, "another unique one"), (3, "another unique one"), (4, None), (None, "shared text of two"), (4, "")]
+
+
+def test_an_id_with_several_texts_loses_none(spark):
+    want = {(1, "a unique text of its own"), (1, "shared text of two"), (3, "another unique one"), (4, None), (None, "shared text of two"), (4, "")}
+    for drop in (exact_dedup.drop_exact_duplicates, minhash_dedup.drop_near_duplicates):
+        left = drop(frame(spark, TWICE))
+        got = [(r.doc_id, r.text) for r in left.collect()]
+        assert set(got) == want and len(got) == len(want) and left.columns == frame(spark, TWICE).columns
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(frame(spark, TWICE)).collect()} == {(1, 1, 1, 0), (2, 1, 1, 0)}
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(frame(spark, TWICE)).collect()} == {(2, 1)}
+
+
+def test_ids_that_are_no_numbers_are_left_alone(spark):
+    df = spark.createDataFrame([("1", "same words here"), ("2", "same words here"), ("x", "same words here")], "doc_id string, text string")
+    for drop in (exact_dedup.drop_exact_duplicates, minhash_dedup.drop_near_duplicates):
+        assert {r.doc_id for r in drop(df).collect()} == {"1", "x"}
 
 
 def signatures(spark, rows, **o):
-    df = minhash_dedup.signatures(frame(spark, rows), **o)
     out = {}
-    for r in df.collect():
-        out.setdefault(r.doc_id, set()).add(tuple(np.array(list(r)[2:], np.int64).view(np.uint16).tolist()))
+    for r in minhash_dedup.signatures(frame(spark, rows), **o).collect():
+        out.setdefault(r.doc_id, set()).add(tuple(np.array(list(r)[3:], np.int64).view(np.uint16).tolist()))
     return out
 
 
-def close(sigs, most):
-    out = {}
-    for a, b in combinations(sorted(sigs), 2):
-        d = min(sum(x != y for x, y in zip(s, t)) for s in sigs[a] for t in sigs[b])
-        if d <= most:
-            out[(a, b)] = d
-    return out
+def brute_near(sigs, most):
+    """``(doc_id, class_id, same_id, links)`` of single-text documents by all pairs."""
+    least = {}
+    for i, s in sigs.items():
+        least[s] = min(i, least.get(s, i))
+    near = {a: {b for b in least if a != b and sum(x != y for x, y in zip(a, b)) <= most} for a in least}
+    group = {}
+    for s in sorted(least, key=least.get):
+        todo = [s] if s not in group else []
+        while todo:
+            t = todo.pop()
+            if t not in group:
+                group[t] = least[s]
+                todo += near[t]
+    return {(i, group[s], least[s], len(near[s])) for i, s in sigs.items() if near[s] or list(sigs.values()).count(s) > 1}
 
 
 @pytest.mark.parametrize("most,chunks", [(20, 20), (20, 5), (7, 8), (0, 1)])
-def test_near_pairs_are_all_pairs_within_the_distance(spark, rows, most, chunks):
-    got = {(r.a, r.b): r.distance for r in minhash_dedup.near_duplicates(frame(spark, rows), distance=most, chunks=chunks).collect()}
-    want = close(signatures(spark, rows), most)
-    # equal signatures are a star around the least id; every pair follows from the least ids
-    least = {b: a for (a, b), d in sorted(got.items(), reverse=True) if d == 0}
-    for (a, b), d in want.items():
-        x, y = sorted((least.get(a, a), least.get(b, b)))
-        assert x == y or got[(x, y)] == d
-    assert all(want[p] == d for p, d in got.items())
+def test_near_classes_and_links_are_those_of_all_pairs(spark, rows, most, chunks):
+    once = [r for r in rows if r[0] != 5 or r[1] == rows[5][1]]
+    sigs = {i: next(iter(s)) for i, s in signatures(spark, once).items()}
+    got = [tuple(r) for r in minhash_dedup.near_duplicates(frame(spark, once), distance=most, chunks=chunks).collect()]
+    want = brute_near(sigs, most)
+    assert len(got) == len(set(got)) and set(got) == want
+    # dropping finds the same groups without all pairs of a bucket
+    left = {r.doc_id for r in minhash_dedup.drop_near_duplicates(frame(spark, once), distance=most, chunks=chunks).collect()}
+    assert left == {i for i, _ in once} - {i for i, c, _, _ in want if i != c}
+
+
+def test_groups_reach_pairs_that_a_buckets_least_member_does_not(spark):
+    """Texts of one bucket that are near each other but not near its least one."""
+    rng = random.Random(3)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(40):  # a drifting family: neighbours are near, ends are far
+        for _ in range(6):
+            base[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base)))
+    for most, chunks in ((20, 20), (30, 6)):
+        sigs = {i: next(iter(s)) for i, s in signatures(spark, rows).items()}
+        want = {i for i, c, _, _ in brute_near(sigs, most) if i != c}
+        left = {r.doc_id for r in minhash_dedup.drop_near_duplicates(frame(spark, rows), distance=most, chunks=chunks).collect()}
+        assert left == set(range(40)) - want and want
 
 
 def test_layout_allows_exactly_the_distance():
@@ -109,8 +154,7 @@ def test_near_recall_against_jaccard(spark, rows):
         w = t.lower().split()
         return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)}
 
-    got = minhash_dedup.near_duplicates(frame(spark, rows))
-    group = {r.node: r.component for r in components(got).collect()}
+    group = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
     texts = {i: shingles(t) for i, t in rows if i is not None and t and any(c.isalnum() for c in t) and i < 300}
     pairs = [(a, b) for a, b in combinations(texts, 2) if len(texts[a] & texts[b]) / len(texts[a] | texts[b]) >= 0.8]
     assert len(pairs) > 10
@@ -147,5 +191,6 @@ def test_components_and_repeated_rows(spark):
             parent[y] = x
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (None, "q"), (None, "q")], "doc_id bigint, text string")
-    assert sorted(map(str, one_row_per_key(df).collect())) == sorted(["Row(doc_id=1, text='a')", "Row(doc_id=2, text=None)", "Row(doc_id=None, text='q')", "Row(doc_id=None, text='q')"])
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "a", 2), (2, None, 1), (2, None, 1), (None, "q", 1), (None, "q", 1)], "doc_id bigint, text string, `odd.name` int")
+    got = sorted(map(str, one_row_per_text(df).collect()))
+    assert got == sorted(map(str, df.filter("not (text = 'a' and `odd.name` = 3) or text is null or doc_id is null").collect()))
