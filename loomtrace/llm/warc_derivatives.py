@@ -53,7 +53,6 @@ _TITLE, _TITLE_END = re.compile(r"(?ia)<title[^>]*>"), re.compile(rf"(?ia)</titl
 _HTML, _LANG = re.compile(r"(?ia)<html\b[^>]*"), re.compile(r"(?ia)\blang=[\x22\x27]?([A-Za-z0-9-]+)")
 _A, _HREF = re.compile(rf"(?ia)<a{_SPACE}"), re.compile(r"(?ia)href=[\x22\x27]?([^\x22\x27\t\n\f\r >]+)")
 _SPACES, _BREAKS, _WHITE = re.compile(" {2,}"), re.compile(r" ?\n[ \n]*"), re.compile(rf"{_SPACE}+")
-_LINE, _ODD = str.maketrans("\r\n", "  "), str.maketrans(ODD_SPACE, " " * len(ODD_SPACE))
 
 
 def shown(html: str) -> str:
@@ -77,6 +76,13 @@ def shown(html: str) -> str:
     return "".join(out) + html[at:]
 
 
+def _spaced(text: str, characters: str) -> str:
+    """Each of the characters as a space; a few replacements are far faster than one translation."""
+    for c in characters:
+        text = text.replace(c, " ")
+    return text
+
+
 def _tags(text: str, pattern: re.Pattern, put: str) -> str:
     """A tag needs a ``>``, so none begins after the last one; before it every opening finds its end."""
     last = text.rfind(">") + 1
@@ -85,10 +91,10 @@ def _tags(text: str, pattern: re.Pattern, put: str) -> str:
 
 def plain_text(html: str) -> str:
     """Visible text: hidden elements dropped, one line for each block, references resolved, white space folded."""
-    bare = _tags(_tags(shown(html).translate(_LINE), _BLOCK, "\n"), _TAG, "")
+    bare = _tags(_tags(_spaced(shown(html), "\r\n"), _BLOCK, "\n"), _TAG, "")
     if "&" in bare:
         bare = html_entities.unescape(bare)
-    return _BREAKS.sub("\n", _SPACES.sub(" ", bare.translate(_ODD))).strip(" \n")
+    return _BREAKS.sub("\n", _SPACES.sub(" ", _spaced(bare, ODD_SPACE))).strip(" \n")
 
 
 def title(html: str) -> str:
