@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from loomtrace.plans import query_pack
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,5 +54,15 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
 
 
-def test_no_query_samples_its_tables():
+def test_every_query_over_tables_reads_them_whole(spark):
+    """No limit, sample or condition on ids stands between a table and a query of the pack: the plan's scans carry no such filter."""
+    for name, (tables, text, _) in query_pack.PACK.items():
+        plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sample " not in plan and "pmod" not in plan, name
+        assert "GlobalLimit" not in plan or "LIMIT" in text.upper(), name
+        for table in tables.split():
+            assert f"{table}.parquet" in __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), (name, table)
+
+
+def test_oracles_name_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
