@@ -1,15 +1,15 @@
 """Table states over an ordered script: what each write does, which state each read saw, and where values come from.
 
-Statements are ordered rows, so the state machine is window functions and as-of joins; nothing
-is folded on the driver.
+Statements are ordered rows, so the state machine is window functions and as-of joins; a script's hops through
+temporary relations are few and folded together in one grouped job.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.operators.lineage_io import cut
 from loomtrace.operators.trace import TRACED, trace_statement, edges, sources
 from loomtrace.plans.facts import Facts
 
@@ -87,37 +87,57 @@ def conditions(facts: Facts) -> DataFrame:
     return s.join(traced, ["task", "stmt"]).select("task", "state", F.substring("column", 2, 100).alias("kind"), F.lower("source").alias("source"), F.lower("source_column").alias("source_column")).distinct()
 
 
+_FOLDED = "task string, state string, column string, source string, source_column string, source_state string, transform string, reason string"
+
+
+def _fold(limit: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.astype(object).where(rows.notna(), None)
+        known = rows[rows["column"].isna()]
+        session = set(known[known["session_scoped"] == True]["state"])  # noqa: E712
+        names = set(known[known["session_scoped"] == True]["relation"])  # noqa: E712
+        values = list(rows[rows["column"].notna()][["state", "column", "source", "source_column", "source_state", "transform"]].itertuples(index=False, name=None))
+        inner: dict[tuple[str, str], set[tuple]] = {}
+        for state, column, source, source_column, source_state, transform in values:
+            inner.setdefault((state, column), set()).add((source, source_column, source_state, transform))
+            # a rowset of a temporary relation is the rowsets of what that relation was made from
+            inner.setdefault((state, "*"), set()).add((source, "*", source_state, "DIRECT"))
+        now = {(*v, None) for v in values if v[0] not in session}
+        for _ in range(limit):
+            open_ = {v for v in now if v[4] in session and v[6] is None}
+            if not open_:
+                break
+            now -= open_
+            for state, column, source, source_column, source_state, transform, _why in open_:
+                met = inner.get((source_state, source_column))
+                if met is None:
+                    now.add((state, column, source, source_column, source_state, transform, "source_column_not_in_document"))
+                for i_source, i_column, i_state, i_transform in met or ():
+                    now.add((state, column, i_source, i_column, i_state, transform if i_transform == "DIRECT" else i_transform, None))
+        task = rows["task"].iloc[0]
+        made = []
+        for state, column, source, source_column, source_state, transform, why in sorted(now, key=str):
+            if source_state in session and why is None:
+                why = "fold_depth_exceeded"
+            elif source in names and source_state is None:
+                why = "source_state_not_in_document"
+            made.append((task, state, column, source, source_column, source_state, transform, why))
+        return pd.DataFrame(made, columns=["task", "state", "column", "source", "source_column", "source_state", "transform", "reason"])
+
+    return run
+
+
 def fold_sessions(facts: Facts, limit: int = FOLD_LIMIT) -> DataFrame:
     """State values with hops through temporary relations replaced by what those hold.
 
     A hop stays, with its reason, past ``limit`` hops (``fold_depth_exceeded``), where the temporary
     relation's state is not in the script (``source_state_not_in_document``) or has no such column
-    (``source_column_not_in_document``).  Values of temporary relations themselves are dropped.
+    (``source_column_not_in_document``).  Values of temporary relations themselves are dropped.  A script's values
+    are folded in one grouped job; scripts spread over executors.
     """
-    values = cut(state_values(facts))
-    s = states(facts).select("task", "state", "session_scoped")
-    temporary = s.filter("session_scoped").select("task", F.col("state").alias("source_state"), F.lit(True).alias("temp"))
-    names = states(facts).filter("session_scoped").select("task", F.col("relation").alias("source"), F.lit(True).alias("temp_name")).distinct()
-    now = cut(values.join(s.filter("not session_scoped"), ["task", "state"], "left_semi").withColumn("reason", F.lit(None).cast("string")))
-    inner = values.select("task", F.col("state").alias("source_state"), F.col("column").alias("source_column"), F.col("source").alias("i_source"), F.col("source_column").alias("i_column"), F.col("source_state").alias("i_state"), F.col("transform").alias("i_transform"))
-    # a rowset of a temporary relation is the rowsets of what that relation was made from
-    rows = inner.withColumn("source_column", F.lit("*")).withColumn("i_column", F.lit("*")).withColumn("i_transform", F.lit("DIRECT"))
-    inner = cut(inner.unionByName(rows).distinct())
-    for _ in range(limit):
-        marked = now.join(temporary, ["task", "source_state"], "left")
-        if marked.filter("temp and reason is null").isEmpty():
-            break
-        rest = marked.filter("temp is null or reason is not null").drop("temp")
-        met = marked.filter("temp and reason is null").drop("temp").join(inner, ["task", "source_state", "source_column"], "left")
-        gone = F.col("i_source").isNull()
-        stepped = met.select(
-            "task", "state", "column", F.when(gone, F.col("source")).otherwise(F.col("i_source")).alias("source"), F.when(gone, F.col("source_column")).otherwise(F.col("i_column")).alias("source_column"),
-            F.when(gone, F.col("source_state")).otherwise(F.col("i_state")).alias("source_state"), F.when(gone | (F.col("i_transform") == "DIRECT"), F.col("transform")).otherwise(F.col("i_transform")).alias("transform"), F.when(gone, "source_column_not_in_document").alias("reason"),
-        )
-        now = cut(rest.select(*stepped.columns).unionByName(stepped).distinct())
-    left = now.join(temporary, ["task", "source_state"], "left").join(names, ["task", "source"], "left")
-    why = F.when(F.col("temp") & F.col("reason").isNull(), "fold_depth_exceeded").when(F.col("temp_name") & F.col("source_state").isNull(), "source_state_not_in_document").otherwise(F.col("reason"))
-    return left.select("task", "state", "column", "source", "source_column", "source_state", "transform", why.alias("reason"))
+    values = state_values(facts)
+    known = states(facts).select("task", "state", "relation", "session_scoped")
+    return values.unionByName(known, allowMissingColumns=True).groupBy("task").applyInPandas(_fold(limit), _FOLDED)
 
 
 def final_states(facts: Facts) -> DataFrame:
