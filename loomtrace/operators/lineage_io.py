@@ -1,21 +1,33 @@
-"""Reliable lineage cuts."""
+"""Reliable lineage cuts and intermediate folders."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def _ready(spark: SparkSession) -> str:
+    """The shared checkpoint folder.
 
     Where ``spark.checkpoint.dir`` is unset, a temporary folder stands in on a local master alone; on a cluster it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{_ready(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder."""
+    _ready(df.sparkSession)
     return df.checkpoint(eager=True)

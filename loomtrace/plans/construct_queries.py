@@ -102,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, Facts], DataFrame]] = {
     "q_t20_dropped_writes": lambda s, f: _of(links.first_writes(f)[1], "writes", "type", "detail"),
     "q_x16_chains": lambda s, f: _of(links.chains(f), "joins", "chain", "target", "step_no", "scope", "column"),
     "q_x27_gap_kinds": lambda s, f: _of(audit.gaps(f), "gaps", "type", "sub_bucket", "owner_hint", "scope", "column", "root_impact", "recovered"),
+    "q_f8_features": lambda s, f: _of(f.features, "logic", "column", F.array_join("operators", " ").alias("operators"), "has_case", "has_cast", "has_aggregate", "has_window", "has_literal").filter("column in ('tier', 'flag', 'sb', 'mc', 'rn', 'text')"),
+    "q_x14_clauses": lambda s, f: _of(f.clauses, "joins", "scope", "kind", "expression", "expanded", "status"),
     "q_x36_effects": lambda s, f: _of(states.states(f), "writes", "relation", "effect"),
 }
 
@@ -224,6 +226,15 @@ ORACLES = {
         ("001", "expression_source_unresolved", "join_without_metadata", "metadata", "ROOT", "who", True, True), ("002", "alias_binding_missing", "name_not_found", "sql", "cte:p", "nowhere", False, False),
         ("003", "expression_source_unresolved", "join_without_metadata", "metadata", "ROOT", "who", True, False),
     ),
+    "q_f8_features": rows_sql(
+        "stmt VARCHAR, column VARCHAR, operators VARCHAR, has_case BOOLEAN, has_cast BOOLEAN, has_aggregate BOOLEAN, has_window BOOLEAN, has_literal BOOLEAN",
+        ("001", "tier", ">", True, False, False, False, True), ("001", "flag", "=", True, False, False, False, True), ("002", "sb", "", False, False, True, False, False), ("002", "mc", ">", False, False, True, False, True),
+        ("003", "rn", "", False, False, False, True, False), ("006", "text", "", False, True, False, False, False),
+    ),
+    "q_x14_clauses": rows_sql(
+        "stmt VARCHAR, scope VARCHAR, kind VARCHAR, expression VARCHAR, expanded VARCHAR, status VARCHAR",
+        ("003", "ROOT", "where", "(x.a = y.a)", "(s.t.a = s.u.a)", "resolved"), ("003", "ROOT", "where", "(y.d > 3)", "(s.u.d > 3)", "resolved"), ("004", "ROOT", "join", "(q.j = z.i)", "(s.t.a = s.u.a)", "resolved"),
+    ),
     "q_x36_effects": rows_sql(
         "stmt VARCHAR, relation VARCHAR, effect VARCHAR",
         ("001", "m.w", "APPEND"), ("002", "m.w", "APPEND"), ("003", "directory:/tmp/out", "REPLACE"), ("004", "m.p", "REPLACE"), ("005", "m.q", "REPLACE_PARTITION"), ("006", "m.w", "APPEND"),

@@ -115,6 +115,13 @@ def test_blocking_reasons(spark):
     assert got == [("*", 1, "metadata_conflict", "db.far"), ("t", 2, "metadata_missing", "dark1"), ("t", 2, "metadata_missing", "dark2"), ("t", 2, "metadata_missing", "m.p"), ("t", 3, "root_gap", "m.p.who")]
 
 
+def test_facts_that_do_not_fit_the_driver(spark):
+    scripts_ = [(f"t{i}", f"INSERT INTO m.o{i} SELECT id + {i} AS x FROM db.a WHERE id > {i}") for i in range(6)]
+    whole, parts = (analyze(spark, scripts_, {"db.a": ["id"]}, held) for held in (10**6, 20))
+    for name in whole.tables:
+        assert sorted(map(str, whole.tables[name].collect())) == sorted(map(str, parts.tables[name].collect())), name
+
+
 def test_first_writes(spark):
     f = analyze(spark, [("t", "SET a=b; INSERT INTO m.o SELECT 1 AS x; INSERT INTO m.p SELECT 2 AS y")])
     kept, dropped = links.first_writes(f)
