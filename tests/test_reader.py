@@ -54,7 +54,7 @@ def test_parse_errors_and_isolation(spark):
         ("INSERT OVERWRITE TABLE db.t PARTITION (dt='1') SELECT id FROM db.a", "INSERT_OVERWRITE", "db.t", "static"),
         ("INSERT OVERWRITE TABLE db.t PARTITION (dt='1', hh) SELECT id, x FROM db.a", "INSERT_OVERWRITE", "db.t", "mixed"),
         ("INSERT OVERWRITE TABLE db.t PARTITION (hh) SELECT id, x FROM db.a", "INSERT_OVERWRITE", "db.t", "dynamic"),
-        ("INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT id FROM db.a", "INSERT_OVERWRITE", "directory:", "none"),
+        ("INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT id FROM db.a", "INSERT_OVERWRITE", "directory:/tmp/x", "none"),
         ("CREATE TABLE db.t AS SELECT id FROM db.a", "CTAS", "db.t", "none"),
         ("CREATE TABLE db.t WITH q AS (SELECT id FROM db.a) SELECT * FROM q", "CTAS", "db.t", "none"),
         ("CREATE OR REPLACE VIEW db.v AS SELECT id FROM db.a", "CTAS", "db.v", "none"),
@@ -214,7 +214,7 @@ def test_join_types_and_keys(spark, join, label):
 def test_cross_self_and_theta_joins(spark):
     assert analyze(spark, [("t", "INSERT INTO db.t SELECT a.x FROM db.a a CROSS JOIN db.b b")], SCHEMA).joins.first().join_type == "CROSS"
     f = analyze(spark, [("t", "INSERT INTO db.t SELECT p.x FROM db.a p JOIN db.a q ON p.id = q.y AND p.x < q.x")], SCHEMA)
-    assert f.join_keys.first()[4:] == ("p", "id", "q", "y") and f.joins.first().n_filters == 1
+    assert f.join_keys.first()[4:] == ("p", "id", "q", "y", "on") and f.joins.first().n_filters == 1
     assert analyze(spark, [("t", "INSERT INTO db.t SELECT p.x FROM db.a p JOIN db.b q ON p.id < q.id")], SCHEMA).joins.first().status == "partial"
 
 
