@@ -211,7 +211,8 @@ def test_json_metadata(spark, tmp_path, content):
     (tmp_path / "m.json").write_text(json.dumps(content))
     (tmp_path / "broken.json").write_text("{not json")
     got = metadata.read_json(spark, str(tmp_path)).orderBy("ordinal").collect()
-    assert [(r.relation, r.ordinal, r.column) for r in got] == [("db.t", 0, "a"), ("db.t", 1, "b")]
+    name = content["table_name"] if "table_name" in content else "db.t"  # whole names are kept
+    assert [(r.relation, r.ordinal, r.column) for r in got] == [(name, 0, "a"), (name, 1, "b")]
 
 
 def test_json_metadata_needs_one_good_file(spark, tmp_path):
