@@ -33,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from collections.abc import Iterator
@@ -257,8 +258,11 @@ class Family:
             self.spark.sql(f"DROP TABLE {t}")
         return made
 
-    def add(self, texts: DataFrame) -> list[DataFrame]:
-        """Index one batch of ``(doc_id, text)``; returns tables of ``(doc_id, spots)``, the places whose repeat it brings to light."""
+    def add(self, texts: DataFrame, last: bool = False) -> list[DataFrame]:
+        """Index one batch of ``(doc_id, text)``; returns tables of ``(doc_id, spots)``, the places whose repeat it brings to light.
+
+        After a ``last`` batch the family is not used again: it is merge-scanned against every level, but no level is written from it.
+        """
         self.count += 1
         levels = dict(self.levels)
         runs = texts.mapInArrow(_runs(self.length, self.bits), ROWS)
@@ -266,7 +270,7 @@ class Family:
         if "kind=0" not in children(self.spark, f"{self.folder}/{now}"):
             return []  # no text is long enough
         made, carry, stale = [now], 0, []
-        while carry in levels:
+        while carry in levels and not last:
             stale.append(old := levels.pop(carry))
             small, now = now, self._meet(now, old, True, f"level-{carry + 1:02d}-{self.count:09d}")
             remove(self.spark, f"{self.folder}/{small}/kind=0")  # of this batch alone; old levels stay until the new state is written
@@ -274,13 +278,17 @@ class Family:
             carry += 1
         for k, old in levels.items():
             made.append(self._meet(now, old, False, f"scan-{k:02d}-{self.count:09d}"))
-        levels[carry] = now
-        self.levels = levels
-        self._save()
+        if last:
+            stale.append(now)
+        else:
+            levels[carry] = now
+            self.levels = levels
+            self._save()
         for name in stale:  # what was merged is no longer read
             remove(self.spark, f"{self.folder}/{name}/kind=0")
         del runs
-        self.spark.sparkContext._jvm.System.gc()  # the context's cleaner then frees the batch's shuffle files
+        gc.collect()  # nothing holds the batch's plan any more, so the context's cleaner frees its shuffle files
+        self.spark.sparkContext._jvm.System.gc()
         return [p for name in made for p in self._places(name)]
 
     def drop(self) -> None:
@@ -321,7 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batches: int = 4, bits: in
     family = Family(spark, shared_folder(spark, "suffixes"), length, bits)
     texts = keyed(docs, "doc_id", "text").filter(F.col("text").isNotNull())
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    found = [p for k in range(batches) for p in family.add(texts.filter(part == k))]
+    found = [p for k in range(batches) for p in family.add(texts.filter(part == k), last=k == batches - 1)]
     family.drop()
     if not found:
         return spark.createDataFrame([], "doc_id bigint, start int, end int, words int")
