@@ -96,7 +96,6 @@ REVENUE = """
 PACK["q_revenue_by_segment"] = ("lineitem orders customer", REVENUE, None)
 
 
-
 def _chunked(side: DataFrame, mine: str, other: str, mine_many: DataFrame, other_many: DataFrame) -> DataFrame:
     """Rows of ``side`` with their chunk of a crowded bin in ``mine``, once for each chunk of the other side in ``other``."""
     one = F.lit(1).cast("bigint")
